@@ -234,6 +234,36 @@ def dedup_lines(documents: DataFrame, least_chars: int = LEAST_CHARS, least_docu
     return restore(documents, find_drops(documents, least_chars, least_documents), least_chars, with_text)
 
 
+def _rewrite(least_chars: int, schema_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lost = batch.column(batch.num_columns - 1).to_pylist()
+        columns = {n: batch.column(i) for i, n in enumerate(schema_names)}
+        texts = columns["text"].to_pylist()
+        for k, drops in enumerate(lost):
+            if drops:
+                gone = {d["k1"].to_bytes(8, "little", signed=True) + d["k2"].to_bytes(8, "little", signed=True) for d in drops}
+                texts[k] = b"\n".join(x for x in (texts[k] or "").encode().split(b"\n") if key_hash(x, least_chars) not in gone).decode()
+        columns["text"] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), schema_names)
+
+
+def rewrite(documents: DataFrame, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """documents, all columns, with the lines dropped that dedup_lines() drops; n_chars is set to the new length where a text changed.
+
+    Only documents that lose a line go through Python.
+    """
+    names = documents.columns
+    kinds = dict(documents.dtypes)
+    lost = cut(find_drops(documents, least_chars, least_documents))
+    joined = documents.join(lost, "doc_id", "left").select(*names, "drops")
+    same = joined.filter("drops is null").select(names)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    changed = joined.filter("drops is not null").mapInArrow(functools.partial(_rewrite, least_chars, names), schema)
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
+    return same.unionByName(changed.select(names))
+
+
 class LineStore:
     """Incremental state in a folder: postings, exact reference counts and cuckoo filters, by shard.
 
