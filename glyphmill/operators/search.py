@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,62 +34,63 @@ def sentence_distances(counts: DataFrame, key: str, first: int = 0, n: int = 21)
     return sums.join(F.broadcast(norm)).select(key, d.alias("distance"))
 
 
-def _blocks(items: list[tuple[int, list[str]]]) -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """(item ids, term numbers, counts of terms by items) of blocks of conclusions, each of at most MOST_CELLS numbers."""
-    out, block, terms = [], [], {}
+def _blocks(items: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[np.ndarray, dict[str, int], np.ndarray]]:
+    """(item ids, term numbers, counts of terms by items) of blocks of conclusions, each of at most MOST_CELLS numbers if it has more than one."""
+    block: list[tuple[int, list[str]]] = []
+    terms: dict[str, int] = {}
 
-    def close() -> None:
+    def closed() -> tuple[np.ndarray, dict[str, int], np.ndarray]:
         counts = np.zeros((len(terms), len(block)))
         for j, (_, tokens) in enumerate(block):
             for t in tokens:
                 counts[terms[t], j] += 1
-        out.append((np.array([i for i, _ in block]), dict(terms), counts))
+        return np.array([i for i, _ in block]), terms, counts
 
     for item, tokens in items:
         new = set(tokens) - terms.keys()
         if block and (len(terms) + len(new)) * (len(block) + 1) > MOST_CELLS:
-            close()
+            yield closed()
             block, terms, new = [], {}, set(tokens)
         for t in sorted(new):
             terms[t] = len(terms)
         block.append((item, tokens))
     if block:
-        close()
-    return out
-
-
-def _nearest(blocks: list, first: np.ndarray, words: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: item ids, and by act and item the least distance and the place of the first paragraph that has it."""
-    for ids, terms, counts in blocks:
-        par, term = [], []
-        for i, tokens in enumerate(words):
-            at = [terms[t] for t in tokens if t in terms]
-            par += [i] * len(at)
-            term += at
-        known = counts > 0
-        cc = np.sqrt((counts**2).sum(axis=0) + 1)
-        best, where = [], []
-        flat = np.array(par, np.int64) * len(terms) + np.array(term, np.int64)
-        cell, n = np.unique(flat, return_counts=True)
-        par, term = cell // max(1, len(terms)), cell % max(1, len(terms))
-        bounds = [*first, len(words)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            low, spot = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
-            for lo in range(a, b, MOST_PARAGRAPHS):
-                hi = min(b, lo + MOST_PARAGRAPHS)
-                s = slice(*np.searchsorted(par, [lo, hi]))
-                used, column = np.unique(term[s], return_inverse=True)
-                p = np.zeros((hi - lo, len(used)))
-                p[par[s] - lo, column] = n[s]
-                d = 1 - (p @ counts[used] + 1) / (cc * np.sqrt((p**2) @ known[used] + 1))
-                d = np.round(d, 9)
-                k = d.argmin(axis=0)
-                least = d[k, np.arange(len(ids))]
-                nearer = least < low
-                low, spot = np.where(nearer, least, low), np.where(nearer, k + lo - a, spot)
-            best.append(low)
-            where.append(spot)
-        yield ids, np.array(best).reshape(-1, len(ids)), np.array(where).reshape(-1, len(ids))
+        yield closed()
+
+
+def _nearest(block: tuple[np.ndarray, dict[str, int], np.ndarray], first: np.ndarray, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item ids, and by act and item the least distance and the place of the first paragraph that has it."""
+    ids, terms, counts = block
+    par, term = [], []
+    for i, tokens in enumerate(words):
+        at = [terms[t] for t in tokens if t in terms]
+        par += [i] * len(at)
+        term += at
+    known = counts > 0
+    cc = np.sqrt((counts**2).sum(axis=0) + 1)
+    best, where = [], []
+    flat = np.array(par, np.int64) * len(terms) + np.array(term, np.int64)
+    cell, n = np.unique(flat, return_counts=True)
+    par, term = cell // max(1, len(terms)), cell % max(1, len(terms))
+    bounds = [*first, len(words)]
+    step = max(1, min(MOST_PARAGRAPHS, MOST_CELLS // max(1, len(terms))))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        low, spot = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+        for lo in range(a, b, step):
+            hi = min(b, lo + step)
+            s = slice(*np.searchsorted(par, [lo, hi]))
+            used, column = np.unique(term[s], return_inverse=True)
+            p = np.zeros((hi - lo, len(used)))
+            p[par[s] - lo, column] = n[s]
+            d = 1 - (p @ counts[used] + 1) / (cc * np.sqrt((p**2) @ known[used] + 1))
+            d = np.round(d, 9)
+            k = d.argmin(axis=0)
+            least = d[k, np.arange(len(ids))]
+            nearer = least < low
+            low, spot = np.where(nearer, least, low), np.where(nearer, k + lo - a, spot)
+        best.append(low)
+        where.append(spot)
+    return ids, np.array(best).reshape(-1, len(ids)), np.array(where).reshape(-1, len(ids))
 
 
 def conclusion_search(acts: DataFrame, conclusions: DataFrame) -> DataFrame:
@@ -103,12 +103,23 @@ def conclusion_search(acts: DataFrame, conclusions: DataFrame) -> DataFrame:
     Acts without paragraphs give no rows.
 
     Every pair is part of the result, so nothing is saved by joining on terms;
-    the conclusions, in blocks of bounded size, are scored by matrix products
-    where the acts are read, and no act is shuffled.
+    the conclusions are scored by matrix products where the acts are read, and
+    no act is shuffled. They are sent out in blocks of bounded size, and acts
+    are read once a block; the driver holds one block at a time.
     """
-    items = [(r.item_id, list(r.tokens)) for r in conclusions.select("item_id", "tokens").orderBy("item_id").toLocalIterator()]
-    shared = acts.sparkSession.sparkContext.broadcast(_blocks(items))
+    named = conclusions.select(F.col("item_id").cast("long"), "tokens").filter("item_id is not null")
+    items = ((r.item_id, r.tokens or []) for r in named.orderBy("item_id").toLocalIterator())
+    out = None
+    for block in _blocks(items):
+        scored = _scored(acts, acts.sparkSession.sparkContext.broadcast(block))
+        out = scored if out is None else out.unionByName(scored)
+    return acts.sparkSession.createDataFrame([], SCORES) if out is None else out
 
+
+SCORES = "item_id long, act_id long, par_pos int, cosine double"
+
+
+def _scored(acts: DataFrame, shared: Broadcast) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -119,11 +130,11 @@ def conclusion_search(acts: DataFrame, conclusions: DataFrame) -> DataFrame:
                     continue
                 first = np.cumsum([0, *(len(p) for _, p in live)])[:-1]
                 words = [x for _, p in live for x in p]
-                for ids, best, where in _nearest(shared.value, first, words):
-                    n = len(live)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, n), pa.int64()), pa.array(np.repeat(np.array([a for a, _ in live]), len(ids)), pa.int64()), pa.array((where + 1).ravel().astype(np.int32)), pa.array(best.ravel() + 0.0)], ["item_id", "act_id", "par_pos", "cosine"])
+                ids, best, where = _nearest(shared.value, first, words)
+                n = len(live)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, n), pa.int64()), pa.array(np.repeat(np.array([a for a, _ in live]), len(ids)), pa.int64()), pa.array((where + 1).ravel().astype(np.int32)), pa.array(best.ravel() + 0.0)], ["item_id", "act_id", "par_pos", "cosine"])
 
-    return acts.select(F.col("act_id").cast("long"), "pars").mapInArrow(score, "item_id long, act_id long, par_pos int, cosine double")
+    return acts.select(F.col("act_id").cast("long"), "pars").mapInArrow(score, SCORES)
 
 
 def report(scores: DataFrame, raw: DataFrame) -> DataFrame:
@@ -140,12 +151,3 @@ def with_gram_words(tokens: Column, grams: Column) -> Column:
     """Tokens and the words of n-grams; these weigh a word by the n-grams that cover it."""
     words = F.flatten(F.transform(grams, lambda g: F.split(g, " ")))
     return F.concat(tokens, words)
-
-
-def gram_counter(tokens: list[str], n: int) -> Counter:
-    """N-grams of a list, for tests and small inputs."""
-    return Counter(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
-
-
-def as_frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows)
