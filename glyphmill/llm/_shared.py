@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -92,6 +93,43 @@ def ranked(df: DataFrame, group: list[str], shuffled: str, ties: list[str], n_ro
     return df.join(counts, keys).withColumn("rank", F.col("_before") + F.row_number().over(order) - 1).drop("_bucket", "_before")
 
 
+#: Blocks of 64 bits of a Bloom filter at most: 2**17 rows of 16 bytes, however many values. A fuller filter only passes more on.
+MOST_BLOCKS = 1 << 17
+BITS_A_VALUE, PROBES = 16, 5
+
+
+def bloom_block(value: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(n_blocks))
+
+
+def bloom_mask(value: Column) -> Column:
+    """PROBES bits of a 64-bit block, six bits of another hash each."""
+    h, mask = F.xxhash64(F.lit("block"), value), F.lit(0).cast("long")
+    for k in range(PROBES):
+        place = F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    return mask
+
+
+def bloom_blocks(values: DataFrame, n_values: int) -> tuple[DataFrame, int]:
+    """(block, bits) of the only column of values, and the number of blocks; at most MOST_BLOCKS rows for any list."""
+    n_blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n_values * BITS_A_VALUE / 64)))))
+    v = F.col(values.columns[0])
+    return values.select(bloom_block(v, n_blocks).alias("block"), bloom_mask(v).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("bits")), n_blocks
+
+
+def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose column may be among the values of wanted's only column; none that is is lost.
+
+    Goes ahead of an exact join, so that what can't match is never shuffled.
+    wanted is read twice; pass it cut.
+    """
+    blocks, n_blocks = bloom_blocks(wanted, wanted.count())
+    v = F.col(column)
+    tested = df.withColumn("_block", bloom_block(v, n_blocks)).join(F.broadcast(blocks.withColumnsRenamed({"block": "_block", "bits": "_bits"})), "_block")  # at most MOST_BLOCKS rows
+    return tested.filter(F.col("_bits").bitwiseAND(bloom_mask(v)) == bloom_mask(v)).select(*df.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the smallest node reachable.
 

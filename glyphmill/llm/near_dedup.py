@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import components, cut, table
+from glyphmill.llm._shared import components, cut, likely, table
 
 #: Places of the permutations. A shingle's 64-bit hash is first taken to a place; two shingles of a text share one now and then, which only blurs the estimate.
 PLACES = 1 << 22
@@ -90,33 +90,60 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _print(hashes: np.ndarray) -> bytes:
+    """Stands for a whole set; equal sets alone have equal ones."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def _sketch(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            sets, keys, prints = [], [], []
+            sizes, keys, prints = [], [], []
             for text in part.column(1).to_pylist():
                 hashes = shingle_set(text, s.shingle)
-                sets.append(hashes.view(np.int64))
+                sizes.append(len(hashes))
                 keys.append(band_keys(signature(hashes, s.bands * s.rows), s.bands, s.rows) if len(hashes) else np.array([], np.int64))
-                prints.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (keys, sets)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), *lists], ["doc_id", "n_shingles", "print", "keys", "shingles"])
+                prints.append(_print(hashes) if len(hashes) else None)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n_shingles", "print", "keys"])
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, print (of the whole set), keys (of bands) and shingles of every row of documents (doc_id, text)."""
+    """doc_id, n_shingles, print (of the whole set) and keys (of bands) of every row of documents (doc_id, text)."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, keys array<long>, shingles array<long>")
+    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, keys array<long>")
+
+
+def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            sets = [shingle_set(text, s.shingle) for text in part.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_print(x) for x in sets], pa.binary()), lists], ["rep", "print", "shingles"])
+
+
+def full_sets(documents: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """(rep, shingles) of reps (rep, print), made anew from the texts: only those that share a band are ever needed.
+
+    A Bloom filter of reps keeps the other texts from Python and from the shuffle.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    made = likely(rows, "rep", reps.select("rep")).mapInArrow(functools.partial(_sets, s), "rep long, print binary, shingles array<long>")
+    return made.join(reps, ["rep", "print"], "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
 
 
-def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of a and b shingles can be similar enough at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(left: str, right: str, s: Settings) -> Column:
+    """Whether sets of n shingles (columns n and these with a suffix) can be similar enough at all."""
+    a, b = F.col("n" + left), F.col("n" + right)
+    return 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = likely(sets, "rep", cut(met))
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_left"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_right"))
     both = pairs.join(left, "a").join(right, "b")
@@ -151,15 +178,15 @@ def link_classes(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 break
         if turn < HUB_ROUNDS:
             by = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "c", "n") if turn else F.struct(F.col("rep").alias("_r"), "rep", "c", "n")
-            hubs = now.groupBy("key").agg(F.min(by).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"))
-            met = now.join(hubs, "key").filter((F.col("c") != F.col("hc")) & _may_link(F.col("n"), F.col("hn"), s.percent))
+            hubs = now.groupBy("key").agg(F.min(by).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("n_h"))
+            met = now.join(hubs, "key").filter((F.col("c") != F.col("hc")) & _may_link("", "_h", s))
             pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         else:
             sizes = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
             most = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
             now = now.join(most, "key")
-            few = now.filter("c <> main").select("key", F.col("rep").alias("r2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-            met = now.join(few, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("r2"))) & _may_link(F.col("n"), F.col("n2"), s.percent))
+            few = now.filter("c <> main").select("key", F.col("rep").alias("r2"), F.col("c").alias("c2"), F.col("n").alias("n_h"))
+            met = now.join(few, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("r2"))) & _may_link("", "_h", s))
             pairs = met.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
@@ -187,15 +214,15 @@ def near_duplicates(documents: DataFrame, s: Settings = CONTRACT) -> DataFrame:
     """
     rows = cut(sketches(documents, s))
     named = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = cut(named.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    in_class = named.select("doc_id", "n_shingles", "print").join(classes.select("print", "rep"), "print")
+    classes = cut(named.groupBy("print").agg(F.min("doc_id").alias("rep")))
+    in_class = named.select("doc_id", "n_shingles", "print").join(classes, "print")
     reps = classes.select(F.col("rep").alias("doc_id"), "print")
-    sets = rows.select("doc_id", "print", "n_shingles", "keys", "shingles").join(reps, ["doc_id", "print"], "left_semi")
-    banded = sets.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    sketched = named.select("doc_id", "print", "n_shingles", "keys").join(reps, ["doc_id", "print"], "left_semi")
+    banded = sketched.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).filter("_low < _high").select("key")
     members = cut(banded.join(shared, "key", "left_semi").distinct())
-    some = members.select(F.col("rep").alias("doc_id")).distinct()
-    linked = cut(rows.select("doc_id", "print", "shingles").join(reps.join(some, "doc_id", "left_semi"), ["doc_id", "print"], "left_semi").select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]))
+    some = members.select("rep").distinct()
+    linked = cut(full_sets(documents, cut(classes.join(some, "rep", "left_semi").select("rep", "print")), s))
     comps = link_classes(members, linked, s)
     placed = in_class.join(cut(comps), F.col("rep") == F.col("node"), "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import ascii_lower, cut, table
+from glyphmill.llm._shared import ascii_lower, bloom_block, bloom_blocks, bloom_mask, cut, table
 
 #: Verdict by host and path prefix; the longest rule that fits wins.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Sites whose known pages make up the list of the query.
 LISTED_SITES = r"(^|\.)(casino-win|free-bets|cheap-pills)\.example\.(com|net|org)$"
-#: Blocks of 64 bits at most: 2**17 rows of 16 bytes, however long the list. A fuller filter only passes more on to the exact join.
-MOST_BLOCKS = 1 << 17
-BITS_A_URL, PROBES = 16, 5
 
 
 def host_of(url: Column) -> Column:
@@ -44,25 +39,6 @@ def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
     return F.lit(None).cast("string") if out is None else out
 
 
-def _block(url: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(n_blocks))
-
-
-def _mask(url: Column) -> Column:
-    """PROBES bits of a 64-bit block, six bits of another hash each."""
-    h, mask = F.xxhash64(F.lit("block"), url), F.lit(0).cast("long")
-    for k in range(PROBES):
-        place = F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return mask
-
-
-def bloom_blocks(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
-    """(block, bits) of listed (canon) and the number of blocks; at most MOST_BLOCKS rows for any list."""
-    n_blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n_listed * BITS_A_URL / 64)))))
-    return listed.select(_block(F.col("canon"), n_blocks).alias("block"), _mask(F.col("canon")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("bits")), n_blocks
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """page_id, host, path, rule, listed and verdict of every row of pages (page_id, url).
 
@@ -79,8 +55,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) ->
     seen = seen.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     seen = seen.withColumn("canon", F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
     blocks = F.broadcast(blocks)  # at most MOST_BLOCKS rows
-    tested = seen.withColumn("block", _block(F.col("canon"), n_blocks)).join(blocks, "block", "left")
-    mask = _mask(F.col("canon"))
+    tested = seen.withColumn("block", bloom_block(F.col("canon"), n_blocks)).join(blocks, "block", "left")
+    mask = bloom_mask(F.col("canon"))
     tested = tested.withColumn("maybe", F.col("canon").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)))
     columns = ["page_id", "host", "path", "rule"]
     passed = tested.filter(~F.col("maybe")).select(*columns, F.lit(False).alias("listed"))
