@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-#: Both cases of the Russian alphabet, Ё included, as a class body.
+# Alphabets, the supplier's marks and the words of court acts, as the texts have them.
 RU = "А-Яа-яЁё"
 RU_UPPER = "А-ЯЁ"
-#: What a Unicode-aware engine calls a word character; Java's own \w is ASCII.
+RULE = "-{66}"
+SUPPLIER = "КонсультантПлюс"
+PROVIDED = "Документ предоставлен КонсультантПлюс"
+SENTENCE_MARKS = "<S>|</S>"
+CLAIM_WORDS = ("Установил", "УСТАНОВИЛ", "установил")
+GUIDED = ".*[Рр]уководствуясь "
+BY = ("статьями", "ст")
+CODES = ("Арбитражного процессуального кодекса", "АПК")
+COURT = "АРБИТРАЖНЫЙ СУД"
+
+#: What a Unicode-aware engine calls a word character; Java's own \\w is ASCII.
 WORD = r"\p{L}\p{N}_"
 NOT_WORD = rf"[^{WORD}]"
-RULE = "-{66}"
-SUPPLIER = "Консультант" + "Плюс"
 
 
 def hyphenated(letters: str, parts: int) -> str:
@@ -18,7 +26,6 @@ def hyphenated(letters: str, parts: int) -> str:
 
 
 RU_WORD = hyphenated(RU, 4)
-SENTENCE_MARKS = "<S>|</S>"
 RU_WORD_MARKED = f"{hyphenated(RU, 3)}|{SENTENCE_MARKS}"
 RU_WORD_MARKED_NUMBERED = f"{RU_WORD_MARKED}|[0-9]+[.]*[0-9]*"
 ANY_WORD = f"{hyphenated(RU, 3)}|{hyphenated('A-Za-z', 3)}|[0-9]+(?:[-.,]*[0-9]*){{3}}[-.,]*[{RU}]*"
@@ -28,12 +35,9 @@ NOTE = rf"(?s){RULE}\n{SUPPLIER}.+?{RULE}\n"
 NOTE_LOOSE = NOTE.replace(".+?", ".*?")
 HEADER = rf"(?d)\A{SUPPLIER}.+?\n.+?\n"
 BETWEEN_ACTS = rf"\n\n\n{RULE}\n\n\n"
-PROVIDED = "Документ предоставлен " + SUPPLIER
-CLAIM = r"(?d)(?<=" + "|".join(f"{w}:\\n\\n" for w in ("Установил", "УСТАНОВИЛ", "установил")) + r").*(?=\n)"
-_GUIDED = ".*[Рр]уководствуясь "
-_CODES = ("Арбитражного процессуального" + " кодекса", "АПК")
-RESULT = "(?d)" + "|".join(f"{_GUIDED}{by}.*?{code}.*?(?=\\n)" for by in ("статьями", "ст") for code in _CODES)
-ACT = rf"(?s)АРБИТРАЖНЫЙ СУД.*?(?={RULE})"
+CLAIM = r"(?d)(?<=" + "|".join(f"{w}:\\n\\n" for w in CLAIM_WORDS) + r").*(?=\n)"
+RESULT = "(?d)" + "|".join(f"{GUIDED}{by}.*?{code}.*?(?=\\n)" for by in BY for code in CODES)
+ACT = rf"(?s){COURT}.*?(?={RULE})"
 SENTENCE_END = rf"(?U)(?<=\w[\w)])\.\s+(?=[{RU_UPPER}](?:\s|[{RU}]))"
 
 #: The signs of ASCII punctuation.
