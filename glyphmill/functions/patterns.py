@@ -1,44 +1,23 @@
-"""Regular expressions for court texts, put together from parts; each works in Java's engine as written."""
+"""Regular expressions for court texts, as Java's engine takes them."""
 
 from __future__ import annotations
 
-# Alphabets, the supplier's marks and the words of court acts, as the texts have them.
-RU = "А-Яа-яЁё"
-RU_UPPER = "А-ЯЁ"
-RULE = "-{66}"
-SUPPLIER = "КонсультантПлюс"
+# The supplier's marks, alphabets and patterns, as the texts and their readers have them.
+# (?d) lets only \n end a line, so `.` takes U+2028 and the like; (?s) lets `.` take \n too.
 PROVIDED = "Документ предоставлен КонсультантПлюс"
-SENTENCE_MARKS = "<S>|</S>"
-CLAIM_WORDS = ("Установил", "УСТАНОВИЛ", "установил")
-GUIDED = ".*[Рр]уководствуясь "
-BY = ("статьями", "ст")
-CODES = ("Арбитражного процессуального кодекса", "АПК")
-COURT = "АРБИТРАЖНЫЙ СУД"
-
-#: What a Unicode-aware engine calls a word character; Java's own \\w is ASCII.
-WORD = r"\p{L}\p{N}_"
-NOT_WORD = rf"[^{WORD}]"
-
-
-def hyphenated(letters: str, parts: int) -> str:
-    """A run of letters, then up to `parts` more runs, each of which may be empty, with or without a hyphen before."""
-    return rf"[{letters}]+(?:-?[{letters}]*){{{parts}}}"
-
-
-RU_WORD = hyphenated(RU, 4)
-RU_WORD_MARKED = f"{hyphenated(RU, 3)}|{SENTENCE_MARKS}"
-RU_WORD_MARKED_NUMBERED = f"{RU_WORD_MARKED}|[0-9]+[.]*[0-9]*"
-ANY_WORD = f"{hyphenated(RU, 3)}|{hyphenated('A-Za-z', 3)}|[0-9]+(?:[-.,]*[0-9]*){{3}}[-.,]*[{RU}]*"
-
-#: (?d): only \n ends a line, so `.` takes U+2028 and the like.
-NOTE = rf"(?s){RULE}\n{SUPPLIER}.+?{RULE}\n"
-NOTE_LOOSE = NOTE.replace(".+?", ".*?")
-HEADER = rf"(?d)\A{SUPPLIER}.+?\n.+?\n"
-BETWEEN_ACTS = rf"\n\n\n{RULE}\n\n\n"
-CLAIM = r"(?d)(?<=" + "|".join(f"{w}:\\n\\n" for w in CLAIM_WORDS) + r").*(?=\n)"
-RESULT = "(?d)" + "|".join(f"{GUIDED}{by}.*?{code}.*?(?=\\n)" for by in BY for code in CODES)
-ACT = rf"(?s){COURT}.*?(?={RULE})"
-SENTENCE_END = rf"(?U)(?<=\w[\w)])\.\s+(?=[{RU_UPPER}](?:\s|[{RU}]))"
-
-#: The signs of ASCII punctuation.
+NOTE = r"(?s)-{66}\nКонсультантПлюс.+?-{66}\n"
+NOTE_LOOSE = r"(?s)-{66}\nКонсультантПлюс.*?-{66}\n"
+HEADER = r"(?d)\AКонсультантПлюс.+?\n.+?\n"
+BETWEEN_ACTS = r"\n\n\n-{66}\n\n\n"
+CLAIM = r"(?d)(?<=Установил:\n\n|УСТАНОВИЛ:\n\n|установил:\n\n).*(?=\n)"
+RESULT = r"(?d).*[Рр]уководствуясь статьями.*?Арбитражного процессуального кодекса.*?(?=\n)|.*[Рр]уководствуясь статьями.*?АПК.*?(?=\n)|.*[Рр]уководствуясь ст.*?Арбитражного процессуального кодекса.*?(?=\n)|.*[Рр]уководствуясь ст.*?АПК.*?(?=\n)"
+ACT = r"(?s)АРБИТРАЖНЫЙ СУД.*?(?=-{66})"
+RU_WORD = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*"
+RU_WORD_MARKED = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*|<S>|</S>"
+RU_WORD_MARKED_NUMBERED = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*|<S>|</S>|[0-9]+[.]*[0-9]*"
+ANY_WORD = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*|[A-Za-z]+-?[A-Za-z]*-?[A-Za-z]*-?[A-Za-z]*|[0-9]+[-.,]*[0-9]*[-.,]*[0-9]*[-.,]*[0-9]*[-.,]*[А-Яа-яЁё]*"
+SENTENCE_END = r"(?U)(?<=[\w][\w\)])\.\s+(?=[А-ЯЁ]\s|[А-ЯЁ][А-Яа-яЁё])"
 PUNCTUATION = r"\p{Punct}"
+
+#: All but what a Unicode-aware engine calls a word character; Java's own \W is ASCII.
+NOT_WORD = r"[^\p{L}\p{N}_]"
