@@ -52,7 +52,7 @@ def russian_tokens(text: Column, stops: Sequence[str] | None = None) -> Tokens:
 
 def stripped_tokens(text: Column, stops: Sequence[str] | None = None) -> Tokens:
     """Lower-cased, split at white space, punctuation deleted; tokens left empty stay unless stops are given."""
-    found = F.transform(blank_split(F.lower(text)), punctuation_deleted)
+    found = F.transform(blank_split(F.lower(text)), lambda x: punctuation_deleted(x))
     return found if stops is None else F.filter(without(found, stops), lambda x: F.length(x) > 1)
 
 
@@ -68,7 +68,7 @@ def punctuation_deleted(text: Column, signs: str | None = None) -> Column:
 
 def clean_tokens(text: Column, stops: Sequence[str]) -> Tokens:
     """Split at white space, punctuation deleted; words of letters alone, no stops, two letters or more. Case stays."""
-    bare = F.transform(blank_split(text), punctuation_deleted)
+    bare = F.transform(blank_split(text), lambda x: punctuation_deleted(x))
     return F.filter(without(F.filter(bare, lambda x: x.rlike(r"^\p{L}+$")), stops), lambda x: F.length(x) > 1)
 
 
