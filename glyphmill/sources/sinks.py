@@ -6,12 +6,13 @@ import csv
 import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.sources.files import decoded
 
-FORMAT = {"sep": "|", "quote": "#", "escape": "#"}
+FORMAT = {"sep": "|", "quote": "#", "escape": "#", "emptyValue": ""}
 
 
 def slug(name: str, most: int = 40) -> str:
@@ -74,7 +75,6 @@ def table_to_text(spark: SparkSession, table: str, column: str, folder: str) ->
 
 def recode(spark: SparkSession, folder: str, to: str, old: str = "koi8_r", new: str = "cp1251") -> None:
     """(path, content) of all files in another charset, as a table; the files themselves stay as they are."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def encoded(t: pd.Series) -> pd.Series:
