@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,6 +91,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch_bits(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 coordinates to a 64-bit number."""
+    two = np.zeros(-(-len(sig) // 32) * 32, np.uint64)
+    two[: len(sig)] = _mix(sig.astype(np.uint64)) & np.uint64(3)
+    return np.bitwise_or.reduce(two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
+
+
 def _print(hashes: np.ndarray) -> bytes:
     """Stands for a whole set; equal sets alone have equal ones."""
     return xxhash.xxh3_128_digest(hashes.tobytes())
@@ -99,20 +107,22 @@ def _sketch(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            sizes, keys, prints = [], [], []
+            sizes, keys, prints, bits = [], [], [], []
             for text in part.column(1).to_pylist():
                 hashes = shingle_set(text, s.shingle)
                 sizes.append(len(hashes))
-                keys.append(band_keys(signature(hashes, s.bands * s.rows), s.bands, s.rows) if len(hashes) else np.array([], np.int64))
+                sig = signature(hashes, s.bands * s.rows)
+                keys.append(band_keys(sig, s.bands, s.rows) if len(hashes) else np.array([], np.int64))
+                bits.append(sketch_bits(sig).tolist())
                 prints.append(_print(hashes) if len(hashes) else None)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n_shingles", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "print", "bits", "keys"])
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, print (of the whole set) and keys (of bands) of every row of documents (doc_id, text)."""
+    """doc_id, n_shingles, print (of the whole set), bits (of the signature) and keys (of bands) of every row of documents (doc_id, text)."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, keys array<long>")
+    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, bits array<long>, keys array<long>")
 
 
 def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +145,22 @@ def full_sets(documents: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
 
 
 def _may_link(left: str, right: str, s: Settings) -> Column:
-    """Whether sets of n shingles (columns n and these with a suffix) can be similar enough at all."""
+    """Whether rows of columns n and q0, q1, ... (and these with a suffix) can be similar enough, by set sizes and signature bits.
+
+    Two bits of a coordinate agree with probability p = s + (1 - s) / 4, so a
+    pair at the least similarity has more unequal ones than five standard
+    deviations over the mean allow with probability 3e-7, as rarely as it
+    shares no band. What passes is verified on its full sets.
+    """
     a, b = F.col("n" + left), F.col("n" + right)
-    return 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
+    width = s.bands * s.rows
+    p = (1 + 3 * s.percent / 100) / 4
+    allowed = math.ceil(width * (1 - p) + 5 * math.sqrt(width * p * (1 - p)))
+    unequal = F.lit(0)
+    for k in range(-(-width // 32)):
+        x = F.col(f"q{k}{left}").bitwiseXOR(F.col(f"q{k}{right}"))
+        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return (100 * F.least(a, b) >= s.percent * F.greatest(a, b)) & (unequal <= allowed)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,21 +175,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(rep, component) of classes that share a band: members (key, rep, n), sets (rep, shingles).
+    """(rep, component) of classes that share a band: members (key, rep, n, q0, q1, ...), sets (rep, shingles).
 
     Pairs of a key are never all made. In each round every key names a hub,
     and only members not yet in the hub's component are verified against it: a
     pair a member. Near copies join one component in the first round. What
     still differs afterwards is met exactly: per key, members outside its
-    largest component are verified against all members of other components.
+    largest component are held against all members of other components, and
+    what their signatures don't rule out becomes a pair and is verified.
     """
+    own = ["n", *(f"q{k}" for k in range(-(-s.bands * s.rows // 32)))]
     spark_links = None
     comps = None
 
     def placed(m: DataFrame) -> DataFrame:
         if comps is None:
             return m.withColumn("c", F.col("rep"))
-        return m.join(comps, m["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        return m.join(comps, m["rep"] == comps["node"], "left").select("key", "rep", *own, F.coalesce("component", "rep").alias("c"))
 
     tried = None
     for turn in range(HUB_ROUNDS + 1):
@@ -177,15 +202,15 @@ def link_classes(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             if now.isEmpty():
                 break
         if turn < HUB_ROUNDS:
-            by = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "c", "n") if turn else F.struct(F.col("rep").alias("_r"), "rep", "c", "n")
-            hubs = now.groupBy("key").agg(F.min(by).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("n_h"))
+            by = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "c", *own) if turn else F.struct(F.col("rep").alias("_r"), "rep", "c", *own)
+            hubs = now.groupBy("key").agg(F.min(by).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc"), *(F.col(f"h.{x}").alias(f"{x}_h") for x in own))
             met = now.join(hubs, "key").filter((F.col("c") != F.col("hc")) & _may_link("", "_h", s))
             pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         else:
             sizes = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
             most = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
             now = now.join(most, "key")
-            few = now.filter("c <> main").select("key", F.col("rep").alias("r2"), F.col("c").alias("c2"), F.col("n").alias("n_h"))
+            few = now.filter("c <> main").select("key", F.col("rep").alias("r2"), F.col("c").alias("c2"), *(F.col(x).alias(f"{x}_h") for x in own))
             met = now.join(few, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("r2"))) & _may_link("", "_h", s))
             pairs = met.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"))
         pairs = pairs.distinct()
@@ -217,11 +242,14 @@ def near_duplicates(documents: DataFrame, s: Settings = CONTRACT) -> DataFrame:
     classes = cut(named.groupBy("print").agg(F.min("doc_id").alias("rep")))
     in_class = named.select("doc_id", "n_shingles", "print").join(classes, "print")
     reps = classes.select(F.col("rep").alias("doc_id"), "print")
-    sketched = named.select("doc_id", "print", "n_shingles", "keys").join(reps, ["doc_id", "print"], "left_semi")
+    sketched = named.select("doc_id", "print", "n_shingles", "bits", "keys").join(reps, ["doc_id", "print"], "left_semi")
     banded = sketched.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).filter("_low < _high").select("key")
     members = cut(banded.join(shared, "key", "left_semi").distinct())
-    some = members.select("rep").distinct()
+    some = cut(members.select("rep").distinct())
+    bits = likely(sketched.select(F.col("doc_id").alias("rep"), "bits"), "rep", some).dropDuplicates(["rep"])
+    members = members.join(bits, "rep").select("key", "rep", "n", *(F.col("bits")[k].alias(f"q{k}") for k in range(-(-s.bands * s.rows // 32))))
+    members = cut(members)
     linked = cut(full_sets(documents, cut(classes.join(some, "rep", "left_semi").select("rep", "print")), s))
     comps = link_classes(members, linked, s)
     placed = in_class.join(cut(comps), F.col("rep") == F.col("node"), "left")

@@ -1,0 +1,209 @@
+"""The other operators against brute force, their SQL, exact round trips and odd rows."""
+
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.llm import decontaminate, line_dedup, near_dedup, pii, quality_rules, registry, rule_ensemble, sharding, text_stats, toxicity, url_filter
+
+#: Nulls, empty and blank texts, repeated rows and ids, extra columns whose names clash with inner ones.
+ODD = [(1, None, "s"), (2, "", "s"), (3, " \n\t", None), (4, "same words here " * 9, "s"), (4, "same words here " * 9, "s"), (None, "no id", "s"), (5, "x" * 200_000, "t"), (6, "word " * 30_000, "t"), (7, "the end", None)]
+EXTRA = [("rep", "string"), ("key", "int"), ("size", "string"), ("_bucket", "string"), ("block", "int"), ("rank", "int")]
+
+
+def docs(spark, rows, extra=True):
+    df = spark.createDataFrame([r if len(r) == 3 else (*r, "s") for r in rows], "doc_id long, text string, source string")
+    return df.withColumns({n: F.lit(None).cast(t) for n, t in EXTRA}) if extra else df
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_agrees_with_its_sql(name, spark, small, duck, check):
+    check(registry.queries()[name](spark, small), duck, registry.oracle_sql()[name])
+
+
+def shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def variants(seed, groups, copies, changed):
+    """Texts of 60 words and copies with some words changed."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"w{r.randint(0, 500)}" for _ in range(60)]
+        for _ in range(copies):
+            out.append(" ".join(f"z{r.random()}" if r.random() < changed else w for w in base))
+    return [(k, t) for k, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("settings", [near_dedup.CONTRACT, near_dedup.STAGE])
+def test_near_duplicates_against_brute_force(spark, settings):
+    rows = [*variants(3, 12, 6, 0.02), *[(100 + k, t) for k, t in variants(4, 2, 25, 0.01)]]
+    sets = {k: shingles(t, settings.shingle) for k, t in rows}
+    label = {k: k for k in sets}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= settings.percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs(spark, rows), settings).collect()}
+    assert {k: r.component_id for k, r in got.items()} == label
+    assert all(r.n_shingles == len(sets[k]) and r.kept == (label[k] == k) for k, r in got.items())
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, ODD)).collect())
+    assert got == [(0, 1, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 3, 4, True), (4, 3, 4, True), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 7, True)]
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_signature_estimates_similarity():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b = near_dedup.signature(x[:3000], 192), near_dedup.signature(x[1000:], 192)
+    assert abs((a == b).mean() - 0.5) < 0.15
+
+
+def plain_repeats(words):
+    n = text_stats.WINDOW
+    found = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    return len({j for i in range(len(words) - n + 1) if found[tuple(words[i : i + n])] > 1 for j in range(i, i + n)})
+
+
+def test_base_statistics_against_plain_python(spark):
+    r = random.Random(2)
+    rows = [*ODD[:4], *((k, "\n".join(" ".join(r.choice("a bb # c$ DD".split()) for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 6)))) for k in range(10, 60))]
+    got = {x.doc_id: x for x in quality_rules.judge(docs(spark, rows), []).collect()}
+    for k, text, *_ in rows:
+        t = text or ""
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
+        x = got[k]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), plain_repeats(words))
+        assert x.base_failed == (len(words) < 20 or 100 * plain_repeats(words) > 30 * len(words)) and x.kept == (not x.base_failed)
+
+
+def test_decision_list_is_learned_and_applied(spark):
+    r = np.random.default_rng(3)
+    x = r.random((900, 2))
+    bad = (x[:, 0] > 0.8) | ((x[:, 1] < 0.2) & (x[:, 0] > 0.5))
+    rules = quality_rules.learn_list(x, bad, ["a", "b"])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double").select(quality_rules.rule_number(rules).alias("n"))
+    rejected = np.array([v.n > 0 for v in df.collect()])
+    assert (rejected == bad).mean() > 0.97
+    assert quality_rules.learn_list(np.zeros((0, 2)), np.zeros(0, bool), ["a", "b"]) == []
+
+
+def held_out_quality(spark, small, name, label):
+    rows = registry.queries()[name](spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    one, none = ([r.score for r in rows if r.held_out and r[label] == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in one for b in none) / max(1, len(one) * len(none))
+
+
+def test_quality_classifier_on_held_out_labels(spark, small):
+    assert held_out_quality(spark, small, "op8_quality_classifier", "quality") > 0.9
+
+
+def test_toxicity_restores_disguised_words(spark):
+    costs = toxicity.language_model(toxicity.trigram_counts(docs(spark, [(k, "you are stupid and worthless people hate this idiot " * 5) for k in range(40)])))
+    r = toxicity.Restorer(costs)
+    assert [r.decode(w) for w in ("st00pid", "1d10t", "h@te", "s t u p i d", "i.d.i.o.t", "stuuuupid")][1:] == ["idiot", "hate", "stupid", "idiot", "stupid"]
+
+
+def test_classifiers_without_labels_and_with_odd_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(docs(spark, ODD), none)
+    assert toxicity.score(docs(spark, ODD), model).count() == len(ODD)
+    out = rule_ensemble.classify(docs(spark, ODD), rule_ensemble.fit(docs(spark, ODD), none)).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_url_rules_and_list(spark):
+    urls = [None, "no host", "http://A.example.ORG/es/x?q", "https://example.org/en/12#f", "http://x.com/fr/", "http://com/de/y", "http://xcom/de/y", "https://www.bad.net/a.html", "http://bad.net/a/", "http://bad.net/b"]
+    pages = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate(urls)], "page_id long, url string, canon string, block int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame([("https://bad.net/a",), (None,)], "url string")).collect()}
+    assert got == {0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("a.example.org", "/es/x", "example.org/es/", "block"), 3: ("example.org", "/en/12", "example.org/en/1", "block"), 4: ("x.com", "/fr/", "com/fr/", "allow"), 5: ("com", "/de/y", "com/de/", "block"), 6: ("xcom", "/de/y", None, "allow"), 7: ("www.bad.net", "/a.html", None, "block"), 8: ("bad.net", "/a/", None, "block"), 9: ("bad.net", "/b", None, "allow")}
+    assert url_filter.judge(pages.limit(0), spark.createDataFrame([], "url string")).count() == 0
+
+
+def test_overlaps_bear_substitutions(spark):
+    item = " ".join(f"q{k}" for k in range(40)).split()
+    changed = [w if k % 9 else "other" for k, w in enumerate(item)]
+    rows = [(1, "before " + " ".join(changed) + " after"), (2, " ".join(f"u{k}" for k in range(50))), (3, " ".join(item[:8])), (None, " ".join(item)), (4, None), (5, " ".join(item)), (5, " ".join(item))]
+    bench = spark.createDataFrame([(9, " ".join(item), 1), (10, " ".join(item), 1), (11, None, 1), (None, "x", 1)], "item_id long, text string, seed int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert got == {(1, 9), (5, 9)}
+    assert sorted((r.doc_id or 0) for r in decontaminate.clean(docs(spark, rows), bench).collect()) == [0, 2, 3, 4]
+    assert decontaminate.overlaps(docs(spark, []), bench.limit(0)).count() == 0
+
+
+def test_pseudonyms_keep_form_and_can_be_undone():
+    text = "card 4111 1111 1111 1111, born 1999-12-31 or 31.12.1999, a.b@ex.org, 10.0.0.1, 078-05-1120, +49 151 2345678, GB82 WEST 1234 5698 7654 32, 2021-02-30, 999.1.1.1"
+    out, counts = pii.pseudonymise(text, b"k")
+    assert out != text and "2021-02-30, 999.1.1.1" in out and "4111 1111" not in out
+    assert set(counts) == set(pii.KINDS) and pii.pseudonymise(text + " " + text, b"k")[0] == out + " " + out
+    assert pii.pseudonymise(out, b"k", inverse=True)[0] == text and pii.pseudonymise(text, b"other")[0] != out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_feistel_permutes(n):
+    f = pii.Feistel(b"k")
+    images = [f.permute(x, n, "t") for x in range(n)]
+    assert sorted(images) == list(range(n)) and [f.permute(y, n, "t", inverse=True) for y in images] == list(range(n))
+
+
+def test_pii_of_odd_rows(spark):
+    rows = pii.mask_documents(docs(spark, ODD)).collect()
+    assert len(rows) == len(ODD) and {r.doc_id: r.text for r in rows if r.doc_id == 1} == {1: None}
+
+
+def test_shards_hold_the_mixture(spark):
+    rows = [(k, f"t{k}", "abc"[min(2, k % 5)]) for k in range(400)]
+    got = sharding.interleave(docs(spark, rows), per_bucket=30).collect()
+    assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
+    for s in range(16):
+        mine = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert all(abs(sum(r.source == x for r in mine) - 25 * share) <= 1 for x, share in (("a", 0.2), ("b", 0.2), ("c", 0.6)))
+    assert sorted(r.size for r in sharding.interleave(docs(spark, ODD)).collect()) == sorted(len((t or "").encode()) + 1 for _, t, _ in ODD)
+    assert sharding.interleave(docs(spark, [])).count() == 0
+
+
+LINE = "A line that many documents share, word for word."
+
+
+def test_lines_go_from_all_but_the_last_document(spark):
+    rows = [(k, f"own {k}\n  {LINE.upper()} \nend") for k in range(5)] + [(None, LINE), (8, None), (9, LINE[:30])]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows), with_text=True).collect()}
+    assert [got[k].n_dropped for k in range(5)] == [1, 1, 1, 1, 0] and got[0].kept_text == "own 0\nend"
+    assert got[None].n_dropped == 0 and (got[8].n_lines, got[8].n_dropped) == (1, 0)
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_store_of_lines_is_reversible(spark, tmp_path):
+    first = docs(spark, [(k, f"{LINE}\nown {k}") for k in range(4)], False)
+    more = docs(spark, [(k, f"{LINE}\nown {k}") for k in range(4, 8)], False)
+    store = line_dedup.LineStore(spark, f"file://{tmp_path}/s", n_shards=3)
+    dropped = lambda: {r.doc_id: r.n_dropped for r in store.apply(first).collect()}
+    store.insert(first)
+    before, counts = dropped(), sorted(store.counts.collect())
+    store.insert(more)
+    assert before == {k: 0 for k in range(4)} and dropped() == {k: 1 for k in range(4)}
+    store.delete(more.select("doc_id"))
+    assert dropped() == before and sorted(store.counts.collect()) == counts
+
+
+def test_cuckoo_filter():
+    r = random.Random(4)
+    keys = [(r.getrandbits(63), r.getrandbits(63)) for _ in range(5000)]
+    f = line_dedup.CuckooFilter.build(keys)
+    a, b = (np.array([k[i] for k in keys]) for i in (0, 1))
+    assert f.holds(a, b).all()
+    assert all(f.delete(*k) for k in keys) and not f.cells.any()
+    others = np.array([r.getrandbits(63) for _ in range(20000)])
+    assert line_dedup.CuckooFilter.build(keys).holds(others, others[::-1].copy()).mean() < 0.01
