@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.tokens import without
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row; a lambda that names an expression would compute it for every element."""
+    return F.transform(F.array(value), lambda v: body(v)).getItem(0)
+
+
 def ngrams(tokens: Column, n: int = 2) -> Column:
     """N neighbours joined by a blank; none if there are fewer than n tokens."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, made)
 
 
 def ngrams_without(tokens: Column, stops, n: int = 2) -> Column:
@@ -33,15 +44,19 @@ def with_ngrams(par: DataFrame, tokens: str, n: int, stops=None, filter_unigrams
 
 def tiles(tokens: Column, n: int) -> Column:
     """N tokens at a time from the end of a flattened act, without overlap; what is left at the start is dropped."""
-    size = F.size(tokens)
-    whole = F.floor(size / n).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.array_join(F.slice(tokens, size - n * k - (n - 1), F.lit(n)), " "))
-    return F.when(whole > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        size = F.size(w)
+        whole = F.floor(size / n).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.array_join(F.slice(w, size - n * k - (n - 1), F.lit(n)), " "))
+        return F.when(whole > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, made)
 
 
 def repeated_ngrams(grams: Column, times: int = 2) -> Column:
     """N-grams found `times` or more, once each, in the order they are first seen."""
-    return F.filter(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)) >= times)
+    return once(grams, lambda all_: F.filter(F.array_distinct(all_), lambda g: F.size(F.filter(all_, lambda x: x == g)) >= times))
 
 
 def ngram_range(tokens: Column, low: int = 1, high: int = 1) -> Column:
