@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import cut, let, table
+from glyphmill.llm._shared import cut, let, likely, table
 
 #: Masks over ten neighbouring words: 1 is hashed, 0 may be any word.
 MASKS = ("1101100101", "1011010011", "1110010110", "1001101101")
 SPAN = len(MASKS[0])
-#: Words from a hit on that are compared; the least of them (or the whole rest of a shorter item); the least share that agree, in percent.
+#: Words from a hit on that are judged first; the least words of any overlap (or the whole of a shorter item); the least share that agree, in percent.
 REACH, LEAST_WORDS, PERCENT = 32, 13, 80
-#: Seeds of all items that are broadcast at most (about 320 bytes each); a larger benchmark is joined by shuffling.
+#: Seeds of all items that are broadcast at most (about 50 bytes each, and the items' words); a larger benchmark is joined by shuffling.
 MOST_BROADCAST_SEEDS = 200_000
 
 
@@ -23,9 +23,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def _windows(w: Column) -> Column:
-    """For each place with SPAN words to come: the next REACH words' hashes, fewer at the end."""
+    """For each place with SPAN words to come: their hashes."""
     n = F.size(w) - F.lit(SPAN - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(w, i, F.lit(REACH)))).otherwise(F.array().cast("array<array<bigint>>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(w, i, F.lit(SPAN)))).otherwise(F.array().cast("array<array<bigint>>"))
 
 
 def _seeds(window: Column) -> Column:
@@ -33,10 +33,47 @@ def _seeds(window: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), *(window.getItem(j) for j, c in enumerate(m) if c == "1")) for k, m in enumerate(MASKS)))
 
 
-def seeded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, at, ahead, seed): a row for each window and mask of each text."""
-    placed = rows.select(key, F.posexplode(let(word_hashes(F.col(text)), _windows)).alias("at", "ahead"))
-    return placed.select(key, "at", "ahead", F.explode(_seeds(F.col("ahead"))).alias("seed"))
+def seeded(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, at, seed): a row for each window and mask of each text."""
+    placed = rows.select(*keys, F.posexplode(let(word_hashes(F.col(text)), _windows)).alias("at", "window"))
+    return placed.select(*keys, "at", F.explode(_seeds(F.col("window"))).alias("seed"))
+
+
+def _sum(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+
+
+def _least(equal: Column) -> Column:
+    return F.least(F.lit(LEAST_WORDS), F.size(equal))
+
+
+def _good(n_equal: Column, n_words: Column, least: Column) -> Column:
+    """(n_equal, less) of a stretch that stands, else null; the greatest of them is the best."""
+    stands = (n_words >= least) & (100 * n_equal >= PERCENT * n_words)
+    return F.when(stands, F.struct(n_equal.alias("n_equal"), (-n_words).alias("less")))
+
+
+def _reached(equal: Column, places: Column) -> Column:
+    """The best of the stretches that go from a hit's place (from 0) up to REACH words on; null if none stands."""
+    return F.array_max(F.transform(places, lambda p: _good(_sum(F.slice(equal, p + 1, F.lit(REACH))), F.least(F.lit(REACH), F.size(equal) - p), _least(equal))))
+
+
+def _stretch(equal: Column) -> Column:
+    """The best stretch anywhere in an alignment, of any length from LEAST_WORDS on; null if none stands.
+
+    More equal words at either end never lower the share, so the best one
+    goes from the start of a run of equal words to the end of a run, filled
+    up with unequal words where that is too short.
+    """
+    n = F.size(equal)
+    places = F.sequence(F.lit(1), n)
+    on = lambda i: F.coalesce(F.get(equal, i - 1), F.lit(0)) == 1
+    starts = F.filter(places, lambda i: on(i) & ~on(i - 1))
+    ends = F.filter(places, lambda i: on(i) & ~on(i + 1))
+    grown = lambda runs, r: F.concat(runs, F.array(F.struct(r["a"].alias("a"), r["b"].alias("b"), (F.coalesce(F.get(runs, F.size(runs) - 1)["upto"], F.lit(0)) + r["b"] - r["a"] + 1).alias("upto"))))
+    runs = F.aggregate(F.arrays_zip(starts.alias("a"), ends.alias("b")), F.array().cast("array<struct<a:int,b:int,upto:int>>"), grown)
+    pair = lambda r, t: _good(t["upto"] - r["upto"] + r["b"] - r["a"] + 1, F.greatest(t["b"] - r["a"] + 1, _least(equal)), _least(equal))
+    return let(runs, lambda x: F.array_max(F.flatten(F.transform(x, lambda r: F.transform(F.filter(x, lambda t: t["a"] >= r["a"]), lambda t: pair(r, t))))))
 
 
 def item_classes(benchmark: DataFrame) -> DataFrame:
@@ -46,14 +83,24 @@ def item_classes(benchmark: DataFrame) -> DataFrame:
     return rows.join(low, "_same").select("item_id", "class_id").distinct()
 
 
+def _alignments(documents: DataFrame, seeds: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, copy, found): for each text with hits its items, offsets (a text's word less the item's) and hit places."""
+    hits = seeded(documents, "doc_id", "copy").join(F.broadcast(seeds) if few else seeds, "seed")
+    lines = hits.groupBy("doc_id", "copy", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set("item_at")).alias("places"))
+    return lines.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item_id", "item_words", "offset", "places")).alias("found"))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal): the best overlap of each document with each item it shares a passage with.
 
-    documents has (doc_id, text), benchmark (item_id, text). From each place
-    where a mask's words agree, the words ahead are compared one by one, up to
-    REACH of them or the item's end: the overlap stands if it has LEAST_WORDS
-    words (or all of an item with fewer) and PERCENT of them are equal, so
-    substituted words are borne. Best is most equal words, then fewest words.
+    documents has (doc_id, text), benchmark (item_id, text). A place where a
+    mask's words agree aligns a text with an item; all words of the item, ahead
+    of the place and behind it, are then compared one by one. An overlap is a
+    stretch of at least LEAST_WORDS words (or all of an item with fewer) of
+    which PERCENT are equal, so substituted words are borne. Where the words
+    from a hit on, up to REACH or the item's end, are one, the best of these is
+    given, as in the SQL; else the best stretch of any place and length. Best
+    is most equal words, then fewest words.
 
     Of items with the same words only the smallest item_id is named; see
     item_classes() for the others. Null or empty texts, null ids, and items
@@ -62,17 +109,24 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text").filter("item_id is not null")
     first = item_classes(items).filter("item_id = class_id").select("item_id")
     sized = items.join(first, "item_id", "left_semi").dropDuplicates(["item_id"])
-    seeds = seeded(sized, "item_id").select("item_id", F.col("at").alias("item_at"), F.col("ahead").alias("item_ahead"), "seed")
-    lengths = sized.select("item_id", F.size(word_hashes(F.col("text"))).alias("item_words"))
-    seeds = cut(seeds.join(lengths, "item_id"))
+    seeds = seeded(sized, "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
+    wanted = cut(sized.select("item_id", word_hashes(F.col("text")).alias("item")))
+    seeds = cut(seeds.join(wanted.select("item_id", F.size("item").alias("item_words")), "item_id"))
     few = seeds.count() <= MOST_BROADCAST_SEEDS
-    texts = seeded(documents.select("doc_id", "text").filter("doc_id is not null"), "doc_id")
-    hits = texts.join(F.broadcast(seeds) if few else seeds, "seed")
-    n = F.size("item_ahead")
-    equal = F.aggregate(F.zip_with("item_ahead", "ahead", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    met = hits.select("doc_id", "item_id", "item_words", n.alias("n_words"), equal.alias("n_equal"))
-    good = (F.col("n_words") >= F.least(F.lit(LEAST_WORDS), "item_words")) & (100 * F.col("n_equal") >= PERCENT * F.col("n_words"))
-    best = met.filter(good).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("n_words")).alias("less"))).alias("b"))
+
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("copy")).filter("doc_id is not null")
+    met = cut(_alignments(texts, seeds, few))
+    again = likely(texts, "doc_id", met.select("doc_id").distinct()).join(met, ["doc_id", "copy"])
+    lead = lambda a: F.greatest(-a["offset"], F.lit(0))  # noqa: E731  item words before the text's first
+    part = lambda w, a: F.slice(w, F.greatest(a["offset"], F.lit(0)) + 1, a["item_words"] - lead(a))
+    parts = let(word_hashes(F.col("text")), lambda w: F.transform("found", lambda a: F.struct(a["item_id"].alias("item_id"), a["places"].alias("places"), lead(a).alias("lead"), part(w, a).alias("part"))))
+    lines = again.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*").join(F.broadcast(wanted) if few else wanted, "item_id")  # a quarter of the seeds, in words
+    bits = F.zip_with(F.slice("item", F.col("lead") + 1, F.size("item")), "part", lambda a, b: F.when(a == b, 1).otherwise(0))
+    compared = lines.select("doc_id", "item_id", "places", F.concat(F.array_repeat(F.lit(0), F.col("lead")), bits).alias("equal"))
+
+    rated = compared.filter(100 * _sum(F.col("equal")) >= PERCENT * _least(F.col("equal"))).withColumn("reached", _reached(F.col("equal"), F.col("places")))
+    rated = rated.withColumn("b", F.when(F.col("reached").isNotNull(), F.col("reached")).otherwise(_stretch(F.col("equal")))).filter("b is not null")
+    best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("reached").isNotNull().alias("reached"), "b.n_equal", "b.less")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.less")).cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"))
 
 

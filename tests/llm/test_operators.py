@@ -142,6 +142,30 @@ def test_overlaps_bear_substitutions(spark):
     assert decontaminate.overlaps(docs(spark, []), bench.limit(0)).count() == 0
 
 
+def best_stretch(equal):
+    least, found = min(13, len(equal)), [(0, 0)]
+    for i, j in itertools.combinations(range(len(equal) + 1), 2):
+        if j - i >= least and 100 * sum(equal[i:j]) >= 80 * (j - i):
+            found.append((sum(equal[i:j]), i - j))
+    return max(found)
+
+
+def test_stretches_against_brute_force(spark):
+    r = random.Random(5)
+    bits = [[int(r.random() < r.choice((0.5, 0.8, 0.95))) for _ in range(r.randint(10, 60))] for _ in range(150)] + [[0] * 20, [1] * 13, [1] * 12]
+    got = spark.createDataFrame([(b,) for b in bits], "bits array<int>").select("bits", decontaminate._stretch(F.col("bits")).alias("b")).collect()
+    assert len(got) == len(bits) and [tuple(x.b or (0, 0)) for x in got] == [best_stretch(x.bits) for x in got]
+
+
+def test_overlaps_of_parts_of_a_long_item(spark):
+    item = [f"q{k}" for k in range(59)]
+    parts = [item[k : k + n] for n in (13, 25) for k in range(59 - n + 1)]
+    rows = [(k, " ".join(["before", *p, "after"])) for k, p in enumerate(parts)] + [(900, " ".join(parts[0])), (901, " ".join(item[:12]) + " x y z"), (902, " ".join(item[5:15]))]
+    bench = spark.createDataFrame([(9, " ".join(item), 1)], "item_id long, text string, seed int")
+    got = {r.doc_id: r.n_equal for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert got == {**{k: len(p) for k, p in enumerate(parts)}, 900: 13, 901: 12}
+
+
 def test_pseudonyms_keep_form_and_can_be_undone():
     text = "card 4111 1111 1111 1111, born 1999-12-31 or 31.12.1999, a.b@ex.org, 10.0.0.1, 078-05-1120, +49 151 2345678, GB82 WEST 1234 5698 7654 32, 2021-02-30, 999.1.1.1"
     out, counts = pii.pseudonymise(text, b"k")
