@@ -166,6 +166,14 @@ def test_overlaps_of_parts_of_a_long_item(spark):
     assert got == {**{k: len(p) for k, p in enumerate(parts)}, 900: 13, 901: 12}
 
 
+@pytest.mark.parametrize("changed", [(0,), (12,), (0, 12), (0, 1)])
+def test_short_items_are_found_from_any_hit(spark, changed):
+    item = [f"q{k}" for k in range(13)]
+    text = " ".join(["before", *("other" if k in changed else w for k, w in enumerate(item)), "after"])
+    bench = spark.createDataFrame([(9, " ".join(item), 1)], "item_id long, text string, seed int")
+    assert [tuple(r) for r in decontaminate.overlaps(docs(spark, [(1, text)]), bench).collect()] == [(1, 9, 13, 13 - len(changed))]
+
+
 def test_pseudonyms_keep_form_and_can_be_undone():
     text = "card 4111 1111 1111 1111, born 1999-12-31 or 31.12.1999, a.b@ex.org, 10.0.0.1, 078-05-1120, +49 151 2345678, GB82 WEST 1234 5698 7654 32, 2021-02-30, 999.1.1.1"
     out, counts = pii.pseudonymise(text, b"k")
