@@ -332,7 +332,7 @@ def _quality_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _modes(spark: SparkSession, d: str) -> DataFrame:
     """Nets trained on each encoding, accuracy on the rows held out."""
     docs, rows = _quality_rows(spark, d)
-    return models.evaluate_modes(docs, rows, "doc_id", ["doc_id", "tok_pos"], repeats=2, least=20, epochs=10)
+    return models.evaluate_modes(docs, rows, "doc_id", ["doc_id", "tok_pos"])
 
 
 @query("M06_predicted_paragraphs")

@@ -1,5 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
+from glyphmill.operators import models
+from glyphmill.plans import queries
 from glyphmill.plans.queries import QUERIES, SQL
 
 
@@ -19,3 +22,12 @@ def test_entry_module_lists_every_query():
 
     assert set(QUERIES) <= set(registered.queries())
     assert set(SQL) <= set(registered.oracle_sql()) <= set(registered.queries())
+
+
+def test_modes_are_judged_five_times_on_all_repeated_words(spark, small, monkeypatch):
+    sizes, train = set(), models.train
+    monkeypatch.setattr(models, "train", lambda rows, **k: sizes.add(rows.select("features").first()[0].size) or train(rows, hidden=2, **(k | {"epochs": 1})))
+    got = {(r.mode, r.repeat) for r in QUERIES["M08_mode_accuracy"](spark, small).collect()}
+    docs, rows = queries._quality_rows(spark, small)
+    repeated = rows.join(docs.filter("not test").select("doc_id"), "doc_id", "left_semi").groupBy("token").count().filter("count > 1").count()
+    assert got == {(m, r) for m in models.MODES for r in range(1, 6)} and sizes == {repeated + 1}
