@@ -347,4 +347,4 @@ def _predicted(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("item_id", "par_pos", tokens.with_verdict(F.col("par"), F.round("p", 6), "quality").alias("par"))
 
 
-query("M09_topics")(lambda s, d: models.topics(_table(s, d, "benchmark"), tokens.word_tokens(F.col("text"))))
+query("M09_topics")(lambda s, d: models.topics(_table(s, d, "documents"), tokens.word_tokens(F.col("text"))))

@@ -31,3 +31,19 @@ def test_modes_are_judged_five_times_on_all_repeated_words(spark, small, monkeyp
     docs, rows = queries._quality_rows(spark, small)
     repeated = rows.join(docs.filter("not test").select("doc_id"), "doc_id", "left_semi").groupBy("token").count().filter("count > 1").count()
     assert got == {(m, r) for m in models.MODES for r in range(1, 6)} and sizes == {repeated + 1}
+
+
+def test_topics_use_every_text_in_every_round(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.models, "topics", lambda docs, *_: seen.append(docs.count()))
+    QUERIES["M09_topics"](spark, small)
+    assert seen == [spark.read.parquet(f"{small}/documents.parquet").count()]
+
+
+def test_two_kinds_of_text_make_two_topics(spark):
+    texts = [" ".join(f"{'ab'[k % 2]}{(k + 7 * j) % 12}" for j in range(30)) for k in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {}
+    for r in models.topics(docs, F.split("text", " "), k=2, words=6, rounds=40).collect():
+        found.setdefault(r.topic, set()).add(r.word[0])
+    assert sorted(found.values(), key=min) == [{"a"}, {"b"}]
