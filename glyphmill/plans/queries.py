@@ -337,14 +337,14 @@ def _modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("M06_predicted_paragraphs")
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    """A net trained on labelled texts judges every paragraph of the benchmark; its probability is put behind the likely ones."""
+    """A net trained on labelled texts judges every paragraph of the documents; its probability is put behind the likely ones."""
     docs, rows = _quality_rows(spark, d)
-    index = vectors.term_index(rows, ["doc_id", "tok_pos"]).filter("cnt >= 20").select("token", "idx")
+    index = vectors.term_index(rows, ["doc_id", "tok_pos"]).filter("cnt > 1").select("token", "idx")
     model = models.train(models.feature_rows(docs, vectors.vectors(rows, "doc_id", "binary", index), "doc_id", index))
-    pars = segments.paragraphs(_table(spark, d, "benchmark"), "item_id", "text").withColumn("id", F.concat_ws(":", "item_id", "par_pos"))
+    pars = segments.paragraphs(_table(spark, d, "documents"), "doc_id", "text").withColumn("id", F.concat_ws(":", "doc_id", "par_pos"))
     values = vectors.vectors(vocabulary.exploded(pars, ["id"], vectors.indexer_tokens(F.col("par"))), "id", "binary", index)
     judged = models.probabilities(model, models.feature_rows(pars, values, "id", index))
-    return judged.select("item_id", "par_pos", tokens.with_verdict(F.col("par"), F.round("p", 6), "quality").alias("par"))
+    return judged.select("doc_id", "par_pos", tokens.with_verdict(F.col("par"), F.round("p", 6), "quality").alias("par"))
 
 
 query("M09_topics")(lambda s, d: models.topics(_table(s, d, "documents"), tokens.word_tokens(F.col("text"))))

@@ -47,3 +47,13 @@ def test_two_kinds_of_text_make_two_topics(spark):
     for r in models.topics(docs, F.split("text", " "), k=2, words=6, rounds=40).collect():
         found.setdefault(r.topic, set()).add(r.word[0])
     assert sorted(found.values(), key=min) == [{"a"}, {"b"}]
+
+
+def test_every_paragraph_of_the_documents_is_judged(spark, small, monkeypatch):
+    sizes, train = [], models.train
+    monkeypatch.setattr(models, "train", lambda rows: sizes.append(rows.select("features").first()[0].size) or train(rows, hidden=2, epochs=1))
+    got = QUERIES["M06_predicted_paragraphs"](spark, small)
+    pars = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("par")).filter("par <> ''")
+    assert {(r.doc_id, r.n) for r in got.groupBy("doc_id").agg(F.count("par").alias("n")).collect()} == {(r.doc_id, r["count"]) for r in pars.groupBy("doc_id").count().collect()}
+    rows = queries._quality_rows(spark, small)[1]
+    assert sizes == [rows.groupBy("token").count().filter("count > 1").count() + 1]
