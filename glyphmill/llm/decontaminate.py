@@ -90,6 +90,17 @@ def _alignments(documents: DataFrame, seeds: DataFrame, few: bool) -> DataFrame:
     return lines.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item_id", "item_words", "offset", "places")).alias("found"))
 
 
+def _whole(documents: DataFrame, items: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, item_id, n_words, n_equal) of items of fewer than SPAN words that a text holds whole, found by a hash of all their words."""
+    sizes = [r.n for r in items.select(F.size("item").alias("n")).distinct().collect()]  # at most SPAN - 1
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))).otherwise(F.array().cast("array<array<bigint>>"))
+    parts = let(word_hashes(F.col("text")), lambda w: F.array_distinct(F.concat(*(runs(w, n) for n in sizes))))
+    held = documents.select("doc_id", F.explode(parts).alias("part")).withColumn("whole", F.xxhash64("part"))
+    wanted = items.withColumn("whole", F.xxhash64("item"))
+    met = held.join(F.broadcast(wanted) if few else wanted, "whole").filter("part = item")
+    return met.select("doc_id", "item_id", F.size("item").cast("long").alias("n_words"), F.size("item").cast("long").alias("n_equal")).distinct()
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal): the best overlap of each document with each item it shares a passage with.
 
@@ -103,8 +114,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     is most equal words, then fewest words.
 
     Of items with the same words only the smallest item_id is named; see
-    item_classes() for the others. Null or empty texts, null ids, and items
-    or texts of fewer than SPAN words give no rows. Repeated rows count once.
+    item_classes() for the others. An item of fewer than SPAN words must be
+    held whole and word for word. Null or empty texts, items without words and
+    null ids give no rows. Repeated rows count once.
     """
     items = benchmark.select("item_id", "text").filter("item_id is not null")
     first = item_classes(items).filter("item_id = class_id").select("item_id")
@@ -127,7 +139,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rated = compared.filter(100 * _sum(F.col("equal")) >= PERCENT * _least(F.col("equal"))).withColumn("reached", _reached(F.col("equal"), F.col("places")))
     rated = rated.withColumn("b", F.when(F.col("reached").isNotNull(), F.col("reached")).otherwise(_stretch(F.col("equal")))).filter("b is not null")
     best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("reached").isNotNull().alias("reached"), "b.n_equal", "b.less")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.less")).cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"))
+    found = best.select("doc_id", "item_id", (-F.col("b.less")).cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"))
+    short = wanted.filter(F.size("item").between(1, SPAN - 1))
+    n_short = short.count()
+    return found.unionByName(_whole(texts, short, n_short <= MOST_BROADCAST_SEEDS)) if n_short else found
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

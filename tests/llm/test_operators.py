@@ -174,6 +174,12 @@ def test_short_items_are_found_from_any_hit(spark, changed):
     assert [tuple(r) for r in decontaminate.overlaps(docs(spark, [(1, text)]), bench).collect()] == [(1, 9, 13, 13 - len(changed))]
 
 
+def test_items_shorter_than_a_seed_are_held_whole(spark):
+    bench = spark.createDataFrame([(1, "One two, three!", 1), (2, "q1 q2 q3 q4 q5 q6 q7 q8 q9", 1), (3, "", 1), (4, "alone", 1), (5, "ALONE", 1)], "item_id long, text string, seed int")
+    rows = [(1, "so one two three, one two three"), (2, "one two four"), (3, "q1 q2 q3 q4 q5 q6 q7 q8 q9"), (4, "q1 q2 q3 q4 other q6 q7 q8 q9 end end end"), (5, "alone"), (5, "alone"), (6, None), (None, "alone")]
+    assert sorted(tuple(r) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()) == [(1, 1, 3, 3), (3, 2, 9, 9), (5, 4, 1, 1)]
+
+
 def test_pseudonyms_keep_form_and_can_be_undone():
     text = "card 4111 1111 1111 1111, born 1999-12-31 or 31.12.1999, a.b@ex.org, 10.0.0.1, 078-05-1120, +49 151 2345678, GB82 WEST 1234 5698 7654 32, 2021-02-30, 999.1.1.1"
     out, counts = pii.pseudonymise(text, b"k")
