@@ -10,7 +10,7 @@ NOTE_LOOSE = r"(?s)-{66}\nКонсультантПлюс.*?-{66}\n"
 HEADER = r"(?d)\AКонсультантПлюс.+?\n.+?\n"
 BETWEEN_ACTS = r"\n\n\n-{66}\n\n\n"
 CLAIM = r"(?d)(?<=Установил:\n\n|УСТАНОВИЛ:\n\n|установил:\n\n).*(?=\n)"
-RESULT = r"(?d).*[Рр]уководствуясь статьями.*?Арбитражного процессуального кодекса.*?(?=\n)|.*[Рр]уководствуясь статьями.*?АПК.*?(?=\n)|.*[Рр]уководствуясь ст.*?Арбитражного процессуального кодекса.*?(?=\n)|.*[Рр]уководствуясь ст.*?АПК.*?(?=\n)"
+RESULT_MARK = r"(?d)[Рр]уководствуясь ст.*?(?:Арбитражного процессуального кодекса|АПК)"  # also for "статьями"
 ACT = r"(?s)АРБИТРАЖНЫЙ СУД.*?(?=-{66})"
 RU_WORD = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*"
 RU_WORD_MARKED = r"[А-Яа-яЁё]+-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*-?[А-Яа-яЁё]*|<S>|</S>"

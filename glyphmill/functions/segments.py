@@ -35,6 +35,17 @@ def sentences(text: Column) -> Column:
     return F.split(text, P.SENTENCE_END)
 
 
+def parts_of(text: Column, unit: str) -> Column:
+    """A text's paragraphs (empty ones too) or sentences, or the whole document as one part."""
+    if unit == "paragraph":
+        return split_paragraphs(text, True)
+    if unit == "sentence":
+        return sentences(text)
+    if unit == "document":
+        return F.array(text)
+    raise ValueError("unit is 'paragraph', 'sentence' or 'document'")
+
+
 def between(text: Column, start: str, stop: str, inclusive: bool = False) -> Column:
     """From the first start to the last stop (regular expressions), over line ends; null where there is none."""
     found = F.regexp_extract(text, rf"(?s)(?={start}).+(?<={stop})" if inclusive else rf"(?s)(?<={start}).+(?={stop})", 0)
@@ -52,6 +63,16 @@ def tagged_part_lower(text: Column, tag: str) -> Column:
     return F.lower(tagged_part(text, tag))
 
 
+def result_lines(text: Column) -> Column:
+    """The lines that name the law they rest on, if a line end follows.
+
+    Each line is looked at by itself: one pattern for the line and the mark in
+    it would begin anew at every character of a long line without the mark.
+    """
+    parts = F.split(text, "\n")
+    return F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda line: line.rlike(P.RESULT_MARK))
+
+
 def all_of(text: Column, pattern: str) -> Column:
-    """Every match of a pattern, in order."""
+    """Every match of a pattern, in order."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphmill.functions import patterns as P
+from glyphmill.functions.segments import parts_of
 
 Tokens = Column
 
@@ -92,6 +93,16 @@ def cleaned(text: Column, stops: Sequence[str]) -> Column:
     return stops_removed(F.lower(russian_only(text)), stops)
 
 
+def cleaned_parts(text: Column, stops: Sequence[str], unit: str = "paragraph") -> Column:
+    """The cleaned parts of a text, by paragraph, sentence or as one document."""
+    return F.transform(parts_of(text, unit), lambda p: cleaned(p, stops))
+
+
+def stops_removed_parts(text: Column, stops: Sequence[str], unit: str = "paragraph") -> Column:
+    """The lower-cased parts of a text without stop words."""
+    return F.transform(parts_of(text, unit), lambda p: stops_removed(F.lower(p), stops))
+
+
 def line_of(tokens: Tokens, vocabulary: Sequence[str]) -> Column:
     """The tokens that are in a small vocabulary, joined by blanks."""
     return F.array_join(only(tokens, vocabulary), " ")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.segments import parts_of
+from glyphmill.functions.tokens import word_tokens, word_tokens_without
+
 
 def lemma_dictionary(words: DataFrame, analyser: Callable[[str], str | None] | Column) -> DataFrame:
-    """(token, lemma) of the distinct tokens of words.
+    """(token, lemma) of the distinct tokens of words.
 
     The analyser is a column expression over `token`, or a function of a word,
     which then runs once a distinct word in Arrow batches; null where it has
-    no answer. None is built in.
+    no answer. None is built in; another analyser is another argument.
     """
     distinct = words.select("token").distinct()
     if isinstance(analyser, Column):
@@ -41,6 +44,42 @@ def regathered(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return tokens.groupBy(*keys).agg(F.transform(gathered, lambda x: x.getField("token")).alias("tokens"))
 
 
+def inflected(tokens: DataFrame, forms: DataFrame, missing: str = "error") -> DataFrame:
+    """Tokens put into the form that forms (token, lemma) has for them, here the nominative singular.
+
+    A token without one is an error; or it is kept, or dropped, as `missing` says.
+    """
+    if missing not in ("error", "keep", "drop"):
+        raise ValueError("missing is 'error', 'keep' or 'drop'")
+    if missing != "error":
+        return lemmatized(tokens, forms, missing == "keep")
+    others = [c for c in tokens.columns if c != "token"]
+    lost = F.raise_error(F.concat(F.lit("no form of the word "), "token"))
+    return tokens.join(forms, "token", "left").select(*others, F.coalesce("lemma", lost).alias("token"))
+
+
+def normalized(df: DataFrame, key: str, text: str, lemmas: DataFrame, unit: str = "paragraph") -> DataFrame:
+    """(key, part from 1, text): each word between single blanks is replaced by its lemma, unknown ones stay.
+
+    A part is a paragraph (empty ones too) or, by unit, the whole document.
+    """
+    rows = df.select(key, F.posexplode(parts_of(F.col(text), unit)).alias("_p", "_part"))
+    words = rows.select(key, (F.col("_p") + 1).alias("part"), F.posexplode(F.split("_part", " ")).alias("tok_pos", "token"))
+    return regathered(lemmatized(words, lemmas, True), [key, "part"]).select(key, "part", F.array_join("tokens", " ").alias("text"))
+
+
+def full_process(df: DataFrame, key: str, text: str, lemmas: DataFrame, stops: Sequence[str] | None = None) -> DataFrame:
+    """(key, par_pos from 1, tokens): each paragraph's words (T02, or T03 with stops) as lemmas, unknown ones as they are.
+
+    Paragraphs without words have an empty list.
+    """
+    of = lambda p: word_tokens_without(p, stops) if stops else word_tokens(p)
+    pars = df.select(key, F.posexplode(parts_of(F.col(text), "paragraph")).alias("_p", "par")).select(key, (F.col("_p") + 1).alias("par_pos"), "par")
+    words = pars.select(key, "par_pos", F.posexplode(of(F.col("par"))).alias("tok_pos", "token"))
+    found = regathered(lemmatized(words, lemmas, True), [key, "par_pos"])
+    return pars.select(key, "par_pos").join(found, [key, "par_pos"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
 def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that belong together by position are joined on it."""
     return left.join(right, keys)

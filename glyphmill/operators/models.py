@@ -10,8 +10,10 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.segments import paragraphs
 from glyphmill.operators.ngrams import ngram_range
-from glyphmill.operators.vectors import MODES, term_index, vectors
+from glyphmill.operators.vectors import MODES, indexer_tokens, term_index, vectors
+from glyphmill.operators.vocabulary import exploded
 
 
 def forward(docs: DataFrame, values: DataFrame, key: str, weights: DataFrame, units: DataFrame, bias: float) -> DataFrame:
@@ -82,6 +84,21 @@ def evaluate_modes(docs: DataFrame, tokens: DataFrame, key: str, order: list[str
     return docs.sparkSession.createDataFrame(rows, "mode string, repeat int, accuracy double")
 
 
+def auto_mode(right: DataFrame, wrong: DataFrame, raw: DataFrame, key: str, text: str, order: list[str], epochs: int = 10) -> DataFrame:
+    """(key, par_pos, par, p) of raw's paragraphs, judged by a net that tells the texts of right from those of wrong.
+
+    All three have key and text. Words found more than once in either kind
+    make the index, as in M06.
+    """
+    docs = wrong.select(F.concat(F.lit("0:"), F.col(key)).alias("_id"), F.lit(0).alias("label"), F.col(text).alias("_text")).unionByName(right.select(F.concat(F.lit("1:"), F.col(key)).alias("_id"), F.lit(1).alias("label"), F.col(text).alias("_text")))
+    rows = exploded(docs, ["_id"], indexer_tokens(F.col("_text")))
+    index = term_index(rows, order).filter("cnt > 1").select("token", "idx")
+    model = train(feature_rows(docs, vectors(rows, "_id", "binary", index), "_id", index), epochs=epochs)
+    pars = paragraphs(raw, key, text).withColumn("_id", F.concat_ws(":", key, "par_pos"))
+    values = vectors(exploded(pars, ["_id"], indexer_tokens(F.col("par"))), "_id", "binary", index)
+    return probabilities(model, feature_rows(pars, values, "_id", index)).select(key, "par_pos", "par", "p")
+
+
 def described(scores: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles and most, by group."""
     v = F.col(value)

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-#: Numbers of the dense conclusion block that a task holds at most (8 bytes each): blocks of conclusions are made to fit.
-MOST_CELLS = 8_000_000
-MOST_PARAGRAPHS = 4_096
+from glyphmill.operators.ngrams import once
+
+#: Dense numbers a task holds at most (8 bytes each), conclusions a block, and terms of conclusions that one pass over the acts is sent.
+MOST_CELLS, MOST_ITEMS, MOST_POSTINGS = 8_000_000, 4_096, 16_000_000
+ACTS_AT_ONCE = 256
 
 
 def cosine_distance(dot: Column, left: Column, right: Column) -> Column:
@@ -20,134 +24,208 @@ def cosine_distance(dot: Column, left: Column, right: Column) -> Column:
     return F.when((left > 0) & (right > 0), F.lit(1.0) - dot / (F.sqrt(left) * F.sqrt(right)))
 
 
-def sentence_distances(counts: DataFrame, key: str, first: int = 0, n: int = 21) -> DataFrame:
-    """Distance of the document `first` to the n that follow it, nearest first; (key, token, cnt) given.
+def sentence_distances(docs: DataFrame, counts: DataFrame, key: str, n: int = 21, reverse: bool = False) -> DataFrame:
+    """(key, distance) of the document with the least key to the n that follow it, nearest first, or last if reverse.
 
-    Those without a common term have distance 1, those without terms null,
-    sorted last.
+    docs has key, counts (key, token, cnt). Ties go by key. A document without
+    a common term has distance 1, one without terms null, sorted last. Fewer
+    than n others are no error.
     """
-    query = counts.filter(F.col(key) == first).select("token", F.col("cnt").alias("q"))
-    others = counts.filter((F.col(key) > first) & (F.col(key) <= first + n))
+    few = docs.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key).limit(n + 1)  # n + 1 rows
+    first = few.agg(F.min(key).alias("_first"))
+    mine = counts.join(F.broadcast(few), key).join(F.broadcast(first))
+    query = mine.filter(F.col(key) == F.col("_first")).select("token", F.col("cnt").alias("q"))
     norm = query.agg(F.sum(F.col("q") * F.col("q")).cast("double").alias("qq"))
-    sums = others.join(F.broadcast(query), "token", "left").groupBy(key).agg(F.sum(F.col("cnt") * F.coalesce("q", F.lit(0))).cast("double").alias("dot"), F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("pp"))
-    d = F.round(cosine_distance(F.col("dot"), F.coalesce("qq", F.lit(0.0)), F.col("pp")), 9) + F.lit(0.0)
-    return sums.join(F.broadcast(norm)).select(key, d.alias("distance"))
-
-
-def _blocks(items: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """(item ids, term numbers, counts of terms by items) of blocks of conclusions, each of at most MOST_CELLS numbers if it has more than one."""
-    block: list[tuple[int, list[str]]] = []
-    terms: dict[str, int] = {}
-
-    def closed() -> tuple[np.ndarray, dict[str, int], np.ndarray]:
-        counts = np.zeros((len(terms), len(block)))
-        for j, (_, tokens) in enumerate(block):
-            for t in tokens:
-                counts[terms[t], j] += 1
-        return np.array([i for i, _ in block]), terms, counts
-
+    sums = mine.filter(F.col(key) > F.col("_first")).join(query, "token", "left").groupBy(key).agg(F.sum(F.col("cnt") * F.coalesce("q", F.lit(0))).cast("double").alias("dot"), F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("pp"))
+    d = F.round(cosine_distance(F.coalesce("dot", F.lit(0.0)), F.coalesce("qq", F.lit(0.0)), F.coalesce("pp", F.lit(0.0))), 9) + F.lit(0.0)
+    others = few.join(F.broadcast(first)).filter(F.col(key) > F.col("_first")).select(key)
+    order = F.desc_nulls_last("distance") if reverse else F.asc_nulls_last("distance")
+    return others.join(sums, key, "left").join(F.broadcast(norm)).select(key, d.alias("distance")).orderBy(order, key)
+
+
+@dataclass
+class Block:
+    """Some conclusions: their ids, the counts of their terms (sorted by term; rows start at ptr), and roots of their squared norms."""
+
+    ids: np.ndarray
+    terms: np.ndarray
+    ptr: np.ndarray
+    item: np.ndarray
+    n: np.ndarray
+    norm: np.ndarray
+
+    def dense(self, used: np.ndarray) -> np.ndarray:
+        """Counts of the terms used, a row each, by conclusion."""
+        out = np.zeros((len(used), len(self.ids)))
+        at = np.minimum(np.searchsorted(self.terms, used), max(0, len(self.terms) - 1))
+        rows = np.flatnonzero(self.terms[at] == used) if len(self.terms) else np.array([], int)
+        start, many = self.ptr[at[rows]], np.diff(self.ptr)[at[rows]]
+        places = np.repeat(start - np.concatenate([[0], many.cumsum()[:-1]]), many) + np.arange(many.sum()) if len(rows) else np.array([], int)
+        out[np.repeat(rows, many), self.item[places]] = self.n[places]
+        return out
+
+
+def _block(items: list[tuple[int, list[str]]], known: dict[str, int]) -> Block:
+    term, item = [], []
+    for j, (_, tokens) in enumerate(items):
+        term += [known.setdefault(t, len(known)) for t in tokens]
+        item += [j] * len(tokens)
+    cell, n = np.unique(np.array(term, np.int64) * len(items) + np.array(item, np.int64), return_counts=True)
+    terms, start = np.unique(cell // len(items), return_index=True)
+    own = cell % len(items)
+    norm = np.sqrt(np.bincount(own, weights=n.astype(float) ** 2, minlength=len(items)) + 1)
+    return Block(np.array([i for i, _ in items]), terms, np.append(start, len(cell)), own, n.astype(float), norm)
+
+
+def _passes(items: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[dict[str, int], list[Block]]]:
+    """(numbers of terms, blocks of conclusions) for each pass over the acts: one, unless the conclusions have over MOST_POSTINGS words."""
+    known: dict[str, int] = {}
+    blocks: list[Block] = []
+    waiting: list[tuple[int, list[str]]] = []
+    held = 0
     for item, tokens in items:
-        new = set(tokens) - terms.keys()
-        if block and (len(terms) + len(new)) * (len(block) + 1) > MOST_CELLS:
-            yield closed()
-            block, terms, new = [], {}, set(tokens)
-        for t in sorted(new):
-            terms[t] = len(terms)
-        block.append((item, tokens))
-    if block:
-        yield closed()
-
-
-def _nearest(block: tuple[np.ndarray, dict[str, int], np.ndarray], first: np.ndarray, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item ids, and by act and item the least distance and the place of the first paragraph that has it."""
-    ids, terms, counts = block
-    par, term = [], []
-    for i, tokens in enumerate(words):
-        at = [terms[t] for t in tokens if t in terms]
-        par += [i] * len(at)
-        term += at
-    known = counts > 0
-    cc = np.sqrt((counts**2).sum(axis=0) + 1)
-    best, where = [], []
-    flat = np.array(par, np.int64) * len(terms) + np.array(term, np.int64)
-    cell, n = np.unique(flat, return_counts=True)
-    par, term = cell // max(1, len(terms)), cell % max(1, len(terms))
-    bounds = [*first, len(words)]
-    step = max(1, min(MOST_PARAGRAPHS, MOST_CELLS // max(1, len(terms))))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        low, spot = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
-        for lo in range(a, b, step):
-            hi = min(b, lo + step)
-            s = slice(*np.searchsorted(par, [lo, hi]))
-            used, column = np.unique(term[s], return_inverse=True)
-            p = np.zeros((hi - lo, len(used)))
-            p[par[s] - lo, column] = n[s]
-            d = 1 - (p @ counts[used] + 1) / (cc * np.sqrt((p**2) @ known[used] + 1))
-            d = np.round(d, 9)
-            k = d.argmin(axis=0)
-            least = d[k, np.arange(len(ids))]
-            nearer = least < low
-            low, spot = np.where(nearer, least, low), np.where(nearer, k + lo - a, spot)
-        best.append(low)
-        where.append(spot)
-    return ids, np.array(best).reshape(-1, len(ids)), np.array(where).reshape(-1, len(ids))
-
-
-def conclusion_search(acts: DataFrame, conclusions: DataFrame) -> DataFrame:
-    """(item_id, act_id, par_pos, cosine) of every conclusion and act: the act's nearest paragraph, the first of equals.
-
-    acts has act_id and pars, an array (paragraphs) of arrays (tokens, n-grams
-    already taken apart); conclusions has item_id and tokens. Counts are of
-    the conclusion's own terms with a constant 1 put to both sides, so the
-    distance is 1 - (c.p + 1) / sqrt((c.c + 1)(p.p + 1)) and never undefined.
-    Acts without paragraphs give no rows.
-
-    Every pair is part of the result, so nothing is saved by joining on terms;
-    the conclusions are scored by matrix products where the acts are read, and
-    no act is shuffled. They are sent out in blocks of bounded size, and acts
-    are read once a block; the driver holds one block at a time.
+        if held and held + len(tokens) > MOST_POSTINGS:
+            yield known, [*blocks, *([_block(waiting, known)] if waiting else [])]
+            known, blocks, waiting, held = {}, [], [], 0
+        waiting.append((item, tokens))
+        held += len(tokens)
+        if len(waiting) == MOST_ITEMS:
+            blocks.append(_block(waiting, known))
+            waiting = []
+    if waiting:
+        blocks.append(_block(waiting, known))
+    if blocks:
+        yield known, blocks
+
+
+def _cells(tokens: pa.Array, known: dict[str, int], n_pars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraph, term, count) of the known terms of paragraphs (a list array of tokens), sorted."""
+    offsets = tokens.offsets.to_numpy()
+    words = tokens.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    if not len(words.dictionary):
+        return (np.array([], np.int64),) * 3
+    number = np.array([known.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+    term = number[words.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+    par = np.repeat(np.arange(n_pars), np.diff(offsets))
+    live = term >= 0
+    cell, n = np.unique(par[live] * max(1, len(known)) + term[live], return_counts=True)
+    return cell // max(1, len(known)), cell % max(1, len(known)), n.astype(float)
+
+
+def _distances(block: Block, par: np.ndarray, term: np.ndarray, n: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Distances of paragraphs lo to hi and the block's conclusions."""
+    s = slice(*np.searchsorted(par, [lo, hi]))
+    used, column = np.unique(term[s], return_inverse=True)
+    p = np.zeros((hi - lo, len(used)))
+    p[par[s] - lo, column] = n[s]
+    counts = block.dense(used)
+    return np.round(1 - (p @ counts + 1) / (block.norm * np.sqrt((p**2) @ (counts > 0) + 1)), 9) + 0.0
+
+
+def _nearest(block: Block, cells: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """By conclusion the least distance among paragraphs a to b, and the place of the first that has it."""
+    low, spot = np.full(len(block.ids), np.inf), np.zeros(len(block.ids), np.int64)
+    for lo in range(a, b, step):
+        d = _distances(block, *cells, lo, min(b, lo + step))
+        k = d.argmin(axis=0)
+        least = d[k, np.arange(len(block.ids))]
+        spot = np.where(least < low, k + lo - a, spot)
+        low = np.minimum(low, least)
+    return low, spot
+
+
+FOUND = "item_id long, act_id long, par_pos int, cosine double, court string, requisites string, paragraph string"
+
+
+def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "best") -> DataFrame:
+    """FOUND of every conclusion and act: the act's nearest paragraph, the first of equals; with output "all" each paragraph.
+
+    acts has act_id, texts (its paragraphs) and pars (an array of tokens for
+    each of these, n-grams already taken apart); conclusions has item_id and
+    tokens. Counts are of the conclusion's own terms with a constant 1 put to
+    both sides, so the distance is 1 - (c.p + 1) / sqrt((c.c + 1)(p.p + 1))
+    and never undefined. The court is the act's first paragraph, its
+    requisites the third, null where there are fewer. Acts without paragraphs
+    give no rows.
+
+    Every pair is part of the result, so nothing is saved by joining on terms:
+    the conclusions, as sparse counts, are sent to where the acts are read
+    once, no act is shuffled, and the texts of the result are taken from the
+    row at hand. Conclusions of more than MOST_POSTINGS words in all (some 200
+    MB) take further passes. For a ranking see nearest_acts().
     """
+    if output not in ("best", "all"):
+        raise ValueError(f"output is 'best' or 'all', not {output!r}")
     named = conclusions.select(F.col("item_id").cast("long"), "tokens").filter("item_id is not null")
     items = ((r.item_id, r.tokens or []) for r in named.orderBy("item_id").toLocalIterator())
     out = None
-    for block in _blocks(items):
-        scored = _scored(acts, acts.sparkSession.sparkContext.broadcast(block))
+    for sent in _passes(items):
+        scored = _scored(acts, acts.sparkSession.sparkContext.broadcast(sent), output == "all")
         out = scored if out is None else out.unionByName(scored)
-    return acts.sparkSession.createDataFrame([], SCORES) if out is None else out
+    return acts.sparkSession.createDataFrame([], FOUND) if out is None else out
+
+
+def _scored(acts: DataFrame, shared: Broadcast, every: bool) -> DataFrame:
+    def rows(part: pa.RecordBatch, known: dict[str, int], blocks: list[Block]) -> Iterator[pa.RecordBatch]:
+        ids, texts, pars = part.column(0), part.column(1), part.column(2)
+        bounds, tokens = pars.offsets.to_numpy(), pars.values.slice(pars.offsets[0].as_py(), pars.offsets[-1].as_py() - pars.offsets[0].as_py())
+        bounds, first = bounds - bounds[0], texts.offsets.to_numpy()
+        cells = _cells(tokens, known, len(tokens))
+        step = max(1, MOST_CELLS // max(1, len(known), *(len(b.ids) for b in blocks)))
+        live = [k for k in range(part.num_rows) if bounds[k + 1] > bounds[k]]
+        for block in blocks:
+            m = len(block.ids)
+            item, act, cosine, spot = [], [], [], []
+            for k in live:
+                a, b = int(bounds[k]), int(bounds[k + 1])
+                if every:
+                    for lo in range(a, b, step):
+                        d = _distances(block, *cells, lo, min(b, lo + step))
+                        item.append(np.tile(block.ids, len(d)))
+                        act.append(np.full(d.size, k))
+                        cosine.append(d.ravel())
+                        spot.append(np.repeat(np.arange(lo, lo + len(d)) - a, m))
+                else:
+                    low, where = _nearest(block, cells, a, b, step)
+                    item.append(block.ids)
+                    act.append(np.full(m, k))
+                    cosine.append(low)
+                    spot.append(where)
+            if not item:
+                return
+            item, act, cosine, spot = (np.concatenate(x) for x in (item, act, cosine, spot))
+            many = np.diff(first)[act]
+            text = lambda place: texts.values.take(pa.array(np.where(many > place, first[act] + place, -1), pa.int64(), mask=many <= place))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids.take(pa.array(act)), pa.array((spot + 1).astype(np.int32)), pa.array(cosine), text(0), text(2), text(spot)], ["item_id", "act_id", "par_pos", "cosine", "court", "requisites", "paragraph"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, blocks = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ACTS_AT_ONCE):
+                yield from rows(batch.slice(lo, ACTS_AT_ONCE), known, blocks)
 
+    none = F.array().cast("array<string>")
+    whole = acts.select(F.col("act_id").cast("long"), F.coalesce("texts", none), F.coalesce("pars", F.array().cast("array<array<string>>")))
+    return whole.mapInArrow(score, FOUND)
 
-SCORES = "item_id long, act_id long, par_pos int, cosine double"
 
+def nearest_acts(found: DataFrame, k: int) -> DataFrame:
+    """Of each conclusion the k nearest acts, nearest first, ties by act_id; `place` counts from 1."""
+    place = F.row_number().over(W.Window.partitionBy("item_id").orderBy("cosine", "act_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
 
-def _scored(acts: DataFrame, shared: Broadcast) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                acts_, pars = part.column(0).to_pylist(), part.column(1).to_pylist()
-                live = [(a, p) for a, p in zip(acts_, pars, strict=True) if p]
-                if not live:
-                    continue
-                first = np.cumsum([0, *(len(p) for _, p in live)])[:-1]
-                words = [x for _, p in live for x in p]
-                ids, best, where = _nearest(shared.value, first, words)
-                n = len(live)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, n), pa.int64()), pa.array(np.repeat(np.array([a for a, _ in live]), len(ids)), pa.int64()), pa.array((where + 1).ravel().astype(np.int32)), pa.array(best.ravel() + 0.0)], ["item_id", "act_id", "par_pos", "cosine"])
-
-    return acts.select(F.col("act_id").cast("long"), "pars").mapInArrow(score, SCORES)
-
-
-def report(scores: DataFrame, raw: DataFrame) -> DataFrame:
-    """(item_id, act_id, court, requisites, cosine, paragraph); raw has act_id and pars (texts).
-
-    The court is the act's first paragraph, its requisites the third, null
-    where there are fewer. Sort by cosine, then act_id, for the ranking.
-    """
-    j = scores.join(raw.select("act_id", "pars"), "act_id")
-    return j.select("item_id", "act_id", F.get("pars", F.lit(0)).alias("court"), F.get("pars", F.lit(2)).alias("requisites"), "cosine", F.get("pars", F.col("par_pos") - 1).alias("paragraph"))
+
+def gram_words(tokens: Column, n: int = 2) -> Column:
+    """Tokens, then the words of all their n-grams; these weigh a word by the n-grams that cover it."""
+
+    def made(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.concat(w, F.flatten(F.transform(starts, lambda i: F.slice(w, i, F.lit(n)))))).otherwise(w)
+
+    return once(tokens, made)
 
 
 def with_gram_words(tokens: Column, grams: Column) -> Column:
-    """Tokens and the words of n-grams; these weigh a word by the n-grams that cover it."""
+    """Tokens and the words of given n-grams."""
     words = F.flatten(F.transform(grams, lambda g: F.split(g, " ")))
     return F.concat(tokens, words)

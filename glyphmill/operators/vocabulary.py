@@ -73,6 +73,15 @@ def lines_in_vocabulary(df: DataFrame, key: str, tokens: Column, vocabulary: Dat
     return df.select(key).distinct().join(lines, key, "left").select(key, F.coalesce("line", F.lit("")).alias("line"))
 
 
+def chosen(tokens: DataFrame, more_than_times: int | None = None, most: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """(token, cnt) found more than so many times, or else the `most` most frequent ones, ties in first-seen order; one must be given."""
+    if more_than_times:
+        return more_than(word_counts(tokens), more_than_times)
+    if most:
+        return most_common(tokens, most, order or ["tok_pos"])
+    raise TypeError("give more_than_times or most")
+
+
 def first_seen_index(tokens: DataFrame, order: list[str]) -> DataFrame:
     """(token, idx) from 0 in first-seen order. Only the vocabulary is sorted in one task, never the tokens."""
     first = tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("first"))

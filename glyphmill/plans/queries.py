@@ -1,7 +1,8 @@
 """Queries over the driver's tables and, where SQL can state them, the SQL that DuckDB checks them with.
 
 Names begin with the operator's number in the survey. Tables hold no Cyrillic,
-so patterns of court acts run over literal rows, the same on both sides.
+so patterns of court acts run over the documents with court texts put before
+and behind each, the same on both sides.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import patterns as P
 from glyphmill.functions import segments, tokens
 from glyphmill.operators import lemmas, models, ngrams, search, vectors, vocabulary
-from glyphmill.sources import files
+from glyphmill.sources import files, scratch, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,9 +66,19 @@ def _projection(name: str, tab: str, key: str, column: Callable[[], Column], sql
     query(name, f"select {key}, {sql} as v from {tab}")(lambda spark, d: _table(spark, d, tab).select(key, column().alias("v")))
 
 
+_COURT_ROWS = f"(select doc_id, t.text || d.text || chr(10) || t.text as text from documents d join {_values(COURT_TEXTS, 'id, text')} on t.id = doc_id % {len(COURT_TEXTS)} + 1)"
+
+
+def _court_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the court text whose turn it is before and behind each."""
+    marks = F.broadcast(spark.createDataFrame(COURT_TEXTS, "id long, mark string"))  # seven rows
+    rows = _table(spark, d, "documents").withColumn("id", F.col("doc_id") % len(COURT_TEXTS) + 1).join(marks, "id")
+    return rows.select("doc_id", F.concat("mark", "text", F.lit("\n"), "mark").alias("text"))
+
+
 def _court(name: str, column: Callable[[], Column], sql: str) -> None:
-    """The same over the literal court texts."""
-    query(name, f"select cast(id as bigint) as id, {sql} as v from {_values(COURT_TEXTS, 'id, text')}")(lambda spark, d: spark.createDataFrame(COURT_TEXTS, "id long, text string").select("id", column().alias("v")))
+    """A query of one value for every document among court texts; both sides name it v."""
+    query(name, f"select doc_id, {sql} as v from {_COURT_ROWS}")(lambda spark, d: _court_rows(spark, d).select("doc_id", column().alias("v")))
 
 
 TEXT = F.col  # named late: columns need a session in some builds
@@ -97,6 +108,154 @@ query("S08_labelled", "select doc_id, 0 as label from labels where quality = 0 u
 query("S09_held_out", "select doc_id, starts_with('cv' || (doc_id % 10), 'cv9') as test from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", files.held_out(F.concat(F.lit("reviews/cv"), (F.col("doc_id") % 10).cast("string"))).alias("test")))
 query("S14_vocabulary_file", f"select distinct unnest({BLANKS}) as token from benchmark")(lambda s, d: _table(s, d, "benchmark").select(F.explode(files.vocabulary_words(F.col("text"))).alias("token")).distinct())
 
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then once here there when where why
+how all any both each few more most other some such no nor not only own same so than too very s t can will just don should
+now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()  # fixed values: the list that files.stop_words() must give
+
+
+query("S13_stop_words", f"select doc_id, array_to_string(list_filter(string_split(lower(text), ' '), lambda x: x not in {_in(w.replace(chr(39), 2 * chr(39)) for w in ENGLISH)}), ' ') as v from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", tokens.stops_removed(F.lower(F.col("text")), files.stop_words(s)).alias("v")))
+
+
+# Files: each query writes what it reads back
+def _item_files(spark: SparkSession, d: str) -> str:
+    """A folder with a text file for each item of `benchmark`."""
+    to = scratch.folder(spark)
+    _table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(to)
+    return to
+
+
+_ITEM = r"item_id=(\d+)"
+_ITEM_TEXT = r"regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10)"
+
+
+def _file_items(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("item_id", F.regexp_extract("path", _ITEM, 1).cast("long"))
+
+
+@query("S01_text_files", f"select item_id, {_ITEM_TEXT} as text from benchmark")
+def _text_files(spark: SparkSession, d: str) -> DataFrame:
+    """S01, S02, S05, S06."""
+    return _file_items(files.texts(spark, _item_files(spark, d), "utf-8", ".txt")).select("item_id", "text")
+
+
+@query("S04_sorted_files", "select item_id, row_number() over (order by cast(item_id as varchar) || '/') as place from benchmark")
+def _sorted_files(spark: SparkSession, d: str) -> DataFrame:
+    """The order as the rows come to the driver."""
+    rows = _file_items(files.texts(spark, _item_files(spark, d), "utf-8", ".txt", ordered=True).select("path")).select("item_id").toLocalIterator()
+    return spark.createDataFrame([(r.item_id, k) for k, r in enumerate(rows, 1)], "item_id long, place long")
+
+
+@query("S07_stored_acts", "select doc_id, text from documents")
+def _stored_acts(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.save_table(_table(spark, d, "documents").select("doc_id", "text"), scratch.folder(spark))
+
+
+@query("S10_lines_of_two_folders", " union all ".join(f"select item_id, cast({k} as integer) as label, cast(unnest(range(1, len(l) + 1)) as integer) as line_pos, unnest(l) as line from (select item_id, regexp_extract_all({_ITEM_TEXT}, '[^\n]*\n|[^\n]+$') as l from benchmark)" for k in (0, 1)))
+def _lines_of_two_folders(spark: SparkSession, d: str) -> DataFrame:
+    folder = _item_files(spark, d)
+    return _file_items(files.labelled_lines(spark, folder, folder, "utf-8")).select("item_id", "label", "line_pos", "line")
+
+
+def _store(spark: SparkSession, d: str) -> files.Store:
+    store = files.Store(spark, scratch.folder(spark))
+    store.put("tags", _table(spark, d, "documents").select(F.col("source").alias("tag")).filter("tag is not null").distinct())
+    store.put("marked_acts", _table(spark, d, "documents").select(F.col("doc_id").alias("act_key"), "text"))
+    return store
+
+
+query("S11_stored_tags", "select distinct source as tag from documents where source is not null order by tag")(lambda s, d: _store(s, d).extract("tags"))
+query("S11_stored_values", "select text from documents")(lambda s, d: _store(s, d).extract("marked_acts"))
+query("S12_stored_names", "select unnest(['marked_acts', 'tags']) as key")(lambda s, d: _store(s, d).keys())
+query("S12_stored_keys", "select distinct doc_id as key from documents order by key")(lambda s, d: _store(s, d).keys("marked_acts"))
+
+
+@query("S15_stage_texts", f"select item_id, {_ITEM_TEXT} as text from benchmark")
+def _stage_texts(spark: SparkSession, d: str) -> DataFrame:
+    root, stage = _item_files(spark, d).rsplit("/", 1)
+    return _file_items(files.stage_texts(spark, root, stage, "utf-8")).select("item_id", "text")
+
+
+_REPORT = "doc_id long, source string, lang string, n_chars long"
+
+
+@query("K01_csv", "select doc_id, source, lang, cast(n_chars as bigint) as n_chars from documents")
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    to = scratch.folder(spark)
+    sinks.write_csv(_table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), to)
+    return sinks.read_csv(spark, to, _REPORT)
+
+
+@query("K02_csv_with_header", "select doc_id as number, source as court from documents")
+def _csv_with_header(spark: SparkSession, d: str) -> DataFrame:
+    """Read with the header that was written."""
+    to = scratch.folder(spark)
+    sinks.write_table(_table(spark, d, "documents").select("doc_id", "source"), to, ("number", "court"))
+    rows = spark.read.options(**sinks.FORMAT, header=True).csv(to)
+    return rows.select(F.col("number").cast("long").alias("number"), "court")
+
+
+def _counted_report(spark: SparkSession, counts: DataFrame, header: tuple[str, str]) -> DataFrame:
+    """The report as read back: its lines must be as many, with the counts of these tokens."""
+    to = scratch.folder(spark)
+    sinks.export_counts(counts, to, header)
+    return spark.read.options(**sinks.FORMAT, header=True).csv(to).select(F.col(header[0]).alias("token"), F.col(header[1]).cast("long").alias("cnt"))
+
+
+@query("T19_lines_of_most_common", f"with v as (select token from (select token, count(*) as cnt, min(struct_pack(a := doc_id, b := tok_pos)) as f from ({_rows('documents', 'doc_id', TOKENS)}) group by token order by cnt desc, f limit 100)) select doc_id, coalesce(line, '') as line from (select distinct doc_id from documents) left join (select doc_id, string_agg(token, ' ' order by tok_pos) as line from ({_rows('documents', 'doc_id', TOKENS)}) where token in (select token from v) group by doc_id) using (doc_id)")
+def _lines_of_most_common(spark: SparkSession, d: str) -> DataFrame:
+    found = vocabulary.chosen(_doc_tokens(spark, d), most=100, order=["doc_id", "tok_pos"])
+    return vocabulary.lines_in_vocabulary(_table(spark, d, "documents"), "doc_id", tokens.word_tokens(F.col("text")), found)
+
+
+query("K03_vocabulary_report", f"select token, count(*) as cnt from ({_rows('documents', 'doc_id', TOKENS)}) group by token")(lambda s, d: _counted_report(s, vocabulary.word_counts(_doc_tokens(s, d)), sinks.WORDS_HEADER))
+query("K04_gram_report", f"select token, count(*) as cnt from (select unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as token from (select {TOKENS} as w from benchmark)) group by token")(lambda s, d: _counted_report(s, vocabulary.word_counts(_table(s, d, "benchmark").select(F.explode(ngrams.ngrams(tokens.word_tokens(F.col("text")))).alias("token"))), sinks.GRAMS_HEADER))
+
+
+@query("K05_appended_lines", "select source as value from documents where source is not null union all select source from documents where source is not null")
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """Written twice, the second time behind the first."""
+    to = scratch.folder(spark)
+    for _ in range(2):
+        sinks.append_text(_table(spark, d, "documents"), "source", to)
+    return spark.read.text(to)
+
+
+@query("K06_table_as_text", "select cast(doc_id as varchar) as value from documents")
+def _table_as_text(spark: SparkSession, d: str) -> DataFrame:
+    to = scratch.folder(spark)
+    sinks.table_to_text(spark, f"{d}/documents.parquet", "doc_id", to)
+    return spark.read.text(to)
+
+
+@query("K07_saved_index", "select token, cast(row_number() over (order by cnt desc, f) as integer) as idx, cnt from (select token, count(*) as cnt, min(struct_pack(a := item_id, b := tok_pos)) as f from (" + _rows("benchmark", "item_id", INDEXED) + ") group by token)")
+def _saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of a tokenizer, saved and loaded."""
+    return sinks.save_table(vectors.term_index(_index_tokens(spark, d), ["item_id", "tok_pos"]), scratch.folder(spark))
+
+
+@query("K10_saved_list", "select lang as value from documents where lang is not null")
+def _saved_list(spark: SparkSession, d: str) -> DataFrame:
+    """Written twice, the second time in place of the first."""
+    to = scratch.folder(spark)
+    for _ in range(2):
+        sinks.save_list(_table(spark, d, "documents"), "lang", to)
+    return spark.read.text(to)
+
+
+@query("K11_recoded", f"select item_id, {_ITEM_TEXT} as text from benchmark")
+def _recoded(spark: SparkSession, d: str) -> DataFrame:
+    to = scratch.folder(spark)
+    sinks.recode(spark, _item_files(spark, d), to, "utf-8", "utf-16-be")
+    return _file_items(spark.read.parquet(to)).select("item_id", F.decode("content", "UTF-16BE").alias("text"))
+
+
 # Segmentation
 NOTE_SQL = P.NOTE.replace("(?s)", "")
 _court("G01_boilerplate", lambda: segments.boilerplate_removed(TEXT("text")), rf"regexp_replace(regexp_replace(text, '{NOTE_SQL}', '', 'gs'), '\AКонсультантПлюс[^\n]+?\n[^\n]+?\n', '')")
@@ -104,13 +263,14 @@ _court("G02_acts_by_rule", lambda: F.array_join(segments.split_acts(TEXT("text")
 _court("G02_acts_by_supplier", lambda: F.array_join(segments.split_acts(TEXT("text"), "supplier"), "|"), f"array_to_string(string_split(text, '{P.PROVIDED}'), '|')")
 query("G03_paragraphs", PAR_ROWS.replace("unnest(range", "cast(unnest(range").replace(") as par_pos", ") as integer) as par_pos").replace(" as text,", " as par,"))(lambda s, d: segments.paragraphs(_table(s, d, "documents"), "doc_id", "text"))
 query("G04_paragraphs_all", "select doc_id, cast(unnest(range(1, len(p) + 1)) as integer) as par_pos, unnest(p) as par from (select doc_id, string_split(text, chr(10)) as p from documents)")(lambda s, d: segments.paragraphs(_table(s, d, "documents"), "doc_id", "text", True))
-_court("G05_sentences", lambda: F.size(segments.sentences(TEXT("text"))).cast("long"), r"cast(len(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_)]\.\s+[А-ЯЁ](?:\s|[А-Яа-яЁё])')) + 1 as bigint)")
+_SENTENCES = r"string_split(regexp_replace(text, '([\p{L}\p{N}_][\p{L}\p{N}_)])\.\s+([А-ЯЁ](?:\s|[А-Яа-яЁё]))', '\1␞\2', 'g'), '␞')"
+_court("G05_sentences", lambda: F.array_join(segments.sentences(TEXT("text")), "|"), f"array_to_string({_SENTENCES}, '|')")
 _projection("G06_between", "pages", "page_id", lambda: segments.between(TEXT("html"), "<nav>", "</nav>", True), "regexp_extract(html, '(?s)<nav>.+</nav>', 0)")
 _projection("G07_tagged_part", "pages", "page_id", lambda: segments.tagged_part(TEXT("html"), "title"), "regexp_extract(html, '(?s)title(.+)/title', 1)")
 _projection("G08_tagged_lower", "pages", "page_id", lambda: segments.tagged_part_lower(TEXT("html"), "footer"), "lower(regexp_extract(html, '(?s)footer(.+)/footer', 1))")
 _court("G09_claim", lambda: F.array_join(segments.all_of(TEXT("text"), P.CLAIM), "|"), r"array_to_string(regexp_extract_all(text, '(?:Установил|УСТАНОВИЛ|установил):\n\n([^\n]*)\n', 1), '|')")
 _court("G10_note", lambda: F.array_join(segments.all_of(TEXT("text"), P.NOTE_LOOSE), "|"), r"array_to_string(regexp_extract_all(text, '(?s)-{66}\nКонсультантПлюс.*?-{66}\n'), '|')")
-_court("G11_result", lambda: F.array_join(segments.all_of(TEXT("text"), P.RESULT), "|"), r"array_to_string(regexp_extract_all(text, '([^\n]*[Рр]уководствуясь (?:статьями|ст)[^\n]*?(?:Арбитражного процессуального кодекса|АПК)[^\n]*?)\n', 1), '|')")
+_court("G11_result", lambda: F.array_join(segments.result_lines(TEXT("text")), "|"), r"array_to_string(regexp_extract_all(text, '([^\n]*[Рр]уководствуясь (?:статьями|ст)[^\n]*?(?:Арбитражного процессуального кодекса|АПК)[^\n]*?)\n', 1), '|')")
 _court("G12_act", lambda: F.array_join(segments.all_of(TEXT("text"), P.ACT), "|"), r"array_to_string(regexp_extract_all(text, '(?s)(АРБИТРАЖНЫЙ СУД.*?)-{66}', 1), '|')")
 for _name, _pattern in {"words": P.RU_WORD, "marked": P.RU_WORD_MARKED, "numbered": P.RU_WORD_MARKED_NUMBERED, "any": P.ANY_WORD}.items():
     _court(f"G13_{_name}", lambda p=_pattern: F.array_join(segments.all_of(TEXT("text"), p), "|"), f"array_to_string(regexp_extract_all(text, '{_pattern}'), '|')")
@@ -132,7 +292,24 @@ _court("T12_short_stops", lambda: tokens.stops_removed(F.lower(TEXT("text")), to
 _court("T13_russian_only", lambda: tokens.russian_only(TEXT("text")), f"array_to_string(regexp_extract_all(text, '{RU}'), ' ')")
 _projection("T14_lower", "documents", "doc_id", lambda: F.lower(TEXT("text")), "lower(text)")
 _projection("T15_stops_from_line", "benchmark", "item_id", lambda: tokens.stops_removed(F.lower(TEXT("text")), STOPS), f"array_to_string(list_filter(string_split(lower(text), ' '), lambda x: x not in {_in(STOPS)}), ' ')")
-query("T17_by_paragraph", f"select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda p: array_to_string(list_filter(string_split(lower(p), ' '), lambda x: x not in {_in(STOPS)}), ' ')), chr(10)) as v from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", F.array_join(F.transform(segments.split_paragraphs(F.col("text"), True), lambda p: tokens.stops_removed(F.lower(p), STOPS)), "\n").alias("v")))
+_MAPPED = "coalesce(map {" + ", ".join(f"'{a}': '{b}'" for a, b in LEMMAS) + "}[x], x)"
+_STOPPED = f"array_to_string(list_filter(string_split(lower(p), ' '), lambda x: x not in {_in(STOPS)}), ' ')"
+query("T17_by_paragraph", f"select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda p: {_STOPPED}), chr(10)) as v from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", F.array_join(tokens.stops_removed_parts(F.col("text"), STOPS), "\n").alias("v")))
+query("T17_whole", f"select doc_id, {_STOPPED.replace('(p)', '(text)')} as v from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", tokens.stops_removed_parts(F.col("text"), STOPS, "document")[0].alias("v")))
+_CLEANED = f"array_to_string(list_filter(string_split(lower(array_to_string(regexp_extract_all(p, '{RU}'), ' ')), ' '), lambda x: x not in {_in(RU_STOPS)}), ' ')"
+_court("T11_by_paragraph", lambda: F.array_join(tokens.cleaned_parts(TEXT("text"), RU_STOPS), "|"), f"array_to_string(list_transform(string_split(text, chr(10)), lambda p: {_CLEANED}), '|')")
+_court("T11_by_sentence", lambda: F.array_join(tokens.cleaned_parts(TEXT("text"), RU_STOPS, "sentence"), "|"), f"array_to_string(list_transform({_SENTENCES}, lambda p: {_CLEANED}), '|')")
+
+
+def _dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEMMAS, "token string, lemma string")
+
+
+_TEXT_ROWS = _rows("documents", "doc_id", TOKENS)
+query("T07_inflected", f"select doc_id, string_agg({_MAPPED.replace('[x], x', '[token], token')}, ' ' order by tok_pos) as v from ({_TEXT_ROWS}) group by doc_id")(lambda s, d: lemmas.regathered(lemmas.inflected(_doc_tokens(s, d), _dictionary(s), "keep"), ["doc_id"]).select("doc_id", _joined(F.col("tokens")).alias("v")))
+query("T16_normalized", f"select doc_id, cast(unnest(range(1, len(p) + 1)) as integer) as part, array_to_string(list_transform(string_split(unnest(p), ' '), lambda x: {_MAPPED}), ' ') as text from (select doc_id, string_split(text, chr(10)) as p from documents)")(lambda s, d: lemmas.normalized(_table(s, d, "documents"), "doc_id", "text", _dictionary(s)))
+_PROCESSED = f"list_transform(list_filter({TOKENS.replace('(text)', '(par)')}, lambda x: x not in {_in(STOPS)}), lambda x: {_MAPPED})"
+query("T18_full_process", f"select doc_id, par_pos, array_to_string({_PROCESSED}, ' ') as v from (select doc_id, cast(unnest(range(1, len(p) + 1)) as integer) as par_pos, unnest(p) as par from (select doc_id, string_split(text, chr(10)) as p from documents))")(lambda s, d: lemmas.full_process(_table(s, d, "documents"), "doc_id", "text", _dictionary(s), STOPS).select("doc_id", "par_pos", _joined(F.col("tokens")).alias("v")))
 _projection("T22_flattened", "documents", "doc_id", lambda: F.size(F.flatten(F.transform(segments.split_paragraphs(TEXT("text")), lambda p: tokens.word_tokens(p)))).cast("long"), f"cast(len(flatten(list_transform({PARS}, lambda p: {TOKENS.replace('(text)', '(p)')}))) as bigint)")
 _projection("T23_times_286", "documents", "doc_id", lambda: tokens.times_286(TEXT("n_chars")), "n_chars * 286")
 _projection("T25_verdict_text", "documents", "doc_id", lambda: tokens.with_verdict(TEXT("source"), (TEXT("doc_id") % 8) / 8, "02_DEM"), "case when (doc_id % 8) / 8 < 0.85 then source else source || '   ' || cast((doc_id % 8) / 8 as varchar) || '# 02_DEM' end")
@@ -219,10 +396,6 @@ query("N08_tiles_of_each", f"select item_id, array_to_string(list_transform(rang
 
 
 # Joins
-def _dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEMMAS, "token string, lemma string")
-
-
 _LEM = _values(LEMMAS, "token, lemma")
 query("J01_lemmatized", f"select doc_id, string_agg(lemma, ' ' order by tok_pos) as v from ({DOC_ROWS}) join {_LEM} using (token) group by doc_id")(lambda s, d: lemmas.regathered(lemmas.lemmatized(_doc_tokens(s, d), _dictionary(s)), ["doc_id"]).select("doc_id", _joined(F.col("tokens")).alias("v")))
 query("L02_lemma_or_token", f"select doc_id, string_agg(coalesce(lemma, token), ' ' order by tok_pos) as v from ({DOC_ROWS}) left join {_LEM} using (token) group by doc_id")(lambda s, d: lemmas.regathered(lemmas.lemmatized(_doc_tokens(s, d), _dictionary(s), True), ["doc_id"]).select("doc_id", _joined(F.col("tokens")).alias("v")))
@@ -253,13 +426,13 @@ query("V11_unknown_words", f"{_FITTED} select doc_id, coalesce(sum(cnt), 0)::big
 
 # Search
 def _acts(spark: SparkSession, d: str, of: Callable[[Column], Column]) -> DataFrame:
-    return _table(spark, d, "documents").select(F.col("doc_id").alias("act_id"), F.transform(segments.split_paragraphs(F.col("text")), lambda p: of(p)).alias("pars"))
+    texts = segments.split_paragraphs(F.col("text"))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("act_id"), texts.alias("texts"), F.transform(texts, lambda p: of(p)).alias("pars"))
 
 
 def _search(spark: SparkSession, d: str, of: Callable[[Column], Column], concluded: Callable[[Column], Column] | None = None) -> DataFrame:
     items = _table(spark, d, "benchmark").select("item_id", (concluded or of)(F.col("text")).alias("tokens"))
-    raw = _table(spark, d, "documents").select(F.col("doc_id").alias("act_id"), segments.split_paragraphs(F.col("text")).alias("pars"))
-    found = search.report(search.conclusion_search(_acts(spark, d, of), items), raw)
+    found = search.conclusion_search(_acts(spark, d, of), items)
     return found.select("item_id", "act_id", "court", "requisites", F.round("cosine", 6).alias("cosine"), "paragraph")
 
 
@@ -300,14 +473,81 @@ def _lemmatized(text: Column) -> Column:
 
 _LEMMATIZED = f"list_filter(list_transform(w, lambda x: {_lemma_map}[x]), lambda x: x is not null)"
 query("C04_lemmatized_search", _search_sql(_LEMMATIZED, _LEMMATIZED))(lambda s, d: _search(s, d, _lemmatized))
-query("C05_bigram_search", _search_sql(_words_of(_BIGRAMS), _words_of(_REPEATED)))(lambda s, d: _search(s, d, lambda t: search.with_gram_words(w := tokens.word_tokens(t), ngrams.ngrams(w)), lambda t: search.with_gram_words(w := tokens.word_tokens(t), ngrams.repeated_ngrams(ngrams.ngrams(w)))))
-query("C06_trigram_search", _search_sql(_words_of(_TRIGRAMS), _words_of(_TRIGRAMS)))(lambda s, d: _search(s, d, lambda t: search.with_gram_words(w := tokens.word_tokens(t), ngrams.ngrams(w, 3))))
-query("C02_sentence_distances", f"with c as (select item_id, token, count(*) as n from ({_rows('benchmark', 'item_id', r'''regexp_extract_all(lower(text), '[a-z]+')''')}) group by all), q as (select * from c where item_id = (select min(item_id) from benchmark)), s as (select c.item_id, sum(c.n * coalesce(q.n, 0))::double as dot, sum(c.n * c.n)::double as pp from c left join q using (token) where c.item_id > (select min(item_id) from benchmark) and c.item_id <= (select min(item_id) + 21 from benchmark) group by c.item_id) select item_id, round(1 - dot / (sqrt((select sum(n * n)::double from q)) * sqrt(pp)), 6) + 0.0 as distance from s")
-def _sentences(spark: SparkSession, d: str) -> DataFrame:
+
+
+def _with_repeated_bigrams(text: Column) -> Column:
+    words = tokens.word_tokens(text)
+    return search.with_gram_words(words, ngrams.repeated_ngrams(ngrams.ngrams(words)))
+
+
+@query("C05_bigram_search", _search_sql(_words_of(_BIGRAMS), _words_of(_REPEATED)))
+def _bigram_search(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, lambda t: search.gram_words(tokens.word_tokens(t), 2), _with_repeated_bigrams)
+
+
+@query("C06_trigram_search", _search_sql(_words_of(_TRIGRAMS), _words_of(_TRIGRAMS)))
+def _trigram_search(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, lambda t: search.gram_words(tokens.word_tokens(t), 3))
+
+
+@query(
+    "C04_nearest_acts",
+    f"""
+select item_id, place, act_id, cosine from (
+  select item_id, act_id, cosine, cast(row_number() over (partition by item_id order by cosine, act_id) as integer) as place from ({_search_sql("w", "w")}))
+where place <= 10""",
+)
+def _ranking(spark: SparkSession, d: str) -> DataFrame:
+    """C04's order by distance, to ten places; distances are rounded first, as the SQL's are."""
+    return search.nearest_acts(_search(spark, d, tokens.word_tokens), 10).select("item_id", "place", "act_id", "cosine")
+
+
+@query(
+    "C03_all_paragraphs",
+    f"""
+with pars as ({PAR_ROWS}),
+pc as (select doc_id, par_pos, token, count(*) as n from (select doc_id, par_pos, unnest({TOKENS}) as token from pars) group by all),
+items as (select * from benchmark where item_id <= (select min(item_id) + 2 from benchmark)),
+ic as (select item_id, token, count(*) as n from (select item_id, unnest({TOKENS}) as token from items) group by all),
+cc as (select i.item_id, coalesce(sum(n * n), 0) + 1 as cc from items i left join ic using (item_id) group by i.item_id),
+met as (select item_id, doc_id, par_pos, sum(ic.n * pc.n) as dot, sum(pc.n * pc.n) as pp from pc join ic using (token) group by all)
+select item_id, doc_id as act_id, cast(par_pos as integer) as par_pos,
+  round(1 - (coalesce(dot, 0) + 1) / (sqrt(cast(cc as double)) * sqrt(cast(coalesce(pp, 0) + 1 as double))), 6) + 0.0 as cosine
+from cc cross join pars left join met using (item_id, doc_id, par_pos)""",
+)
+def _all_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """C03 with output "all": every paragraph's distance from the first conclusions (their number is this query's, not a limit of the operator)."""
+    items = _table(spark, d, "benchmark")
+    few = items.filter(F.col("item_id") <= items.agg(F.min("item_id")).first()[0] + 2)
+    found = search.conclusion_search(_acts(spark, d, tokens.word_tokens), few.select("item_id", tokens.word_tokens(F.col("text")).alias("tokens")), "all")
+    return found.select("item_id", "act_id", "par_pos", F.round("cosine", 6).alias("cosine"))
+
+
+_LATIN_ROWS = _rows("benchmark", "item_id", "regexp_extract_all(lower(text), '[a-z]+')")
+
+
+def _c02_sql(direction: str) -> str:
+    return f"""
+with few as (select item_id from benchmark where item_id is not null order by item_id limit 22),
+c as (select item_id, token, count(*) as n from ({_LATIN_ROWS}) where item_id in (select item_id from few) group by all),
+q as (select token, n from c where item_id = (select min(item_id) from few)),
+s as (
+  select few.item_id, coalesce(sum(c.n * coalesce(q.n, 0)), 0)::double as dot, coalesce(sum(c.n * c.n), 0)::double as pp
+  from few left join c using (item_id) left join q using (token) where few.item_id > (select min(item_id) from few) group by few.item_id),
+far as (select item_id, case when pp > 0 then round(1 - dot / (sqrt((select sum(n * n)::double from q)) * sqrt(pp)), 9) + 0.0 end as distance from s)
+select item_id, round(distance, 6) as distance, row_number() over (order by distance {direction} nulls last, item_id) as place from far"""
+
+
+def _distances(spark: SparkSession, d: str, reverse: bool) -> DataFrame:
+    """With the place that the operator's order gives each row."""
     items = _table(spark, d, "benchmark")
     counts = vocabulary.term_counts(vocabulary.exploded(items, ["item_id"], tokens.latin_tokens(F.col("text"))), "item_id")
-    out = search.sentence_distances(counts, "item_id", items.agg(F.min("item_id")).first()[0])
-    return out.select("item_id", F.round("distance", 6).alias("distance"))
+    rows = search.sentence_distances(items, counts, "item_id", reverse=reverse).collect()  # 21 rows
+    return spark.createDataFrame([(r.item_id, None if r.distance is None else round(r.distance, 6), k) for k, r in enumerate(rows, 1)], "item_id long, distance double, place long")
+
+
+query("C02_sentence_distances", _c02_sql("asc"))(lambda s, d: _distances(s, d, False))
+query("C02_reversed", _c02_sql("desc"))(lambda s, d: _distances(s, d, True))
 
 
 # Models and shares
@@ -319,7 +559,25 @@ def _forward(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.round("p", 6).alias("p"))
 
 
-query("M05_section_labels", "select page_id, 1 as label from pages union all select page_id, 0 from pages")(lambda s, d: files.labelled(_table(s, d, "pages").select("page_id"), _table(s, d, "pages").select("page_id")))
+_SECTION = "select page_id, {label} as label, regexp_extract(html, '(?s){tag}(.+)/{tag}', 1) as part from pages where regexp_matches(html, '(?s){tag}.+/{tag}')"
+
+
+def _section(spark: SparkSession, d: str, tag: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", segments.tagged_part(F.col("html"), tag).alias("part")).filter("part is not null")
+
+
+@query("M05_section_labels", _SECTION.format(label=1, tag="title") + " union all " + _SECTION.format(label=0, tag="nav"))
+def _section_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of one tag are labelled 1, those of another 0, however many there are of each."""
+    return files.labelled(_section(spark, d, "nav"), _section(spark, d, "title"))
+
+
+@query("M10_sections_to_verdicts")
+def _sections_to_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of two tags train a net that judges the paragraphs of `benchmark`."""
+    part = lambda tag: _section(spark, d, tag).select(F.col("page_id").cast("string").alias("id"), F.col("part").alias("text"))
+    raw = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    return models.auto_mode(part("title"), part("nav"), raw, "id", "text", ["_id", "tok_pos"])
 query("P01_shares", "select lang, count(*) as n, round(100 * count(*)::double / sum(count(*)) over (), 1) as share from documents group by lang")(lambda s, d: models.shares(_table(s, d, "documents"), "lang"))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators.vocabulary import descending
 from glyphmill.sources.files import decoded
 
 FORMAT = {"sep": "|", "quote": "#", "escape": "#", "emptyValue": ""}
@@ -29,6 +30,21 @@ def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.options(**FORMAT, header=True).schema(schema).csv(folder)
 
 
+def write_table(df: DataFrame, folder: str, header: tuple[str, ...] = ()) -> None:
+    """write_csv with another header, which must have a name for each column. A table without rows is no error."""
+    if header and len(header) != len(df.columns):
+        raise ValueError(f"{len(header)} names for {len(df.columns)} columns")
+    write_csv(df.toDF(*header) if header else df, folder)
+
+
+WORDS_HEADER, GRAMS_HEADER = ("Слова", "Количество вхождений в корпус"), ("N-граммы", "Количество вхождений в корпус")
+
+
+def export_counts(counts: DataFrame, folder: str, header: tuple[str, str] = WORDS_HEADER) -> None:
+    """K03, and with GRAMS_HEADER K04: (token, cnt) as CSV, the most frequent first; parts are in order by name."""
+    write_table(descending(counts.select("token", "cnt")), folder, header)
+
+
 def write_report(df: DataFrame, path: str, banner: str | None = None, charset: str = "cp1251") -> int:
     """One local file in the order of df, for people; with a banner row of filler first if wanted.
 
@@ -84,6 +100,27 @@ def recode(spark: SparkSession, folder: str, to: str, old: str = "koi8_r", new:
     files.select("path", encoded(decoded(F.col("content"), old)).alias("content")).write.mode("overwrite").parquet(to)
 
 
+ROOT_STAGE = "MainRoot"
+
+
 def stage_paths(root: str, stages: list[str]) -> dict[str, str]:
     """A folder for each stage; writers make them."""
     return {s: str(Path(root) / s) for s in stages}
+
+
+def make_stage_folders(paths: dict[str, str], below: str = "") -> list[str]:
+    """Makes local folders of all stages but the root, or a folder of that name below each; returns them sorted."""
+    made = sorted(Path(p) / below for s, p in paths.items() if s != ROOT_STAGE)
+    for p in made:
+        p.mkdir(parents=True, exist_ok=True)
+    return [str(p) for p in made]
+
+
+def act_folders(root: str, files: list[str]) -> list[str]:
+    """A folder below root for each file, named as the file without its last suffix."""
+    return [str(Path(root) / Path(f).stem) for f in files]
+
+
+def numbered_paths(folder: str, n: int, suffix: str = ".txt") -> list[str]:
+    """N file names in a folder, counted from 0."""
+    return [str(Path(folder) / f"{k}{suffix}") for k in range(n)]

@@ -34,8 +34,11 @@ def test_store(spark, tmp_path):
     assert [r.tag for r in store.extract("tags").collect()] == ["a", "b"]
     assert [r.text for r in store.extract("marked_acts").collect()] == ["t"]
     assert store.describe("tags") == [("tag", "string")]
+    assert store.extract("acts_keys") == 0
+    assert [r.key for r in store.keys().collect()] == ["marked_acts", "tags"]
+    assert [r.key for r in store.keys("tags").collect()] == ["a", "b"]
     with pytest.raises(ValueError):
-        store.extract("acts_keys")
+        store.extract("other")
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -67,6 +70,16 @@ def test_text_sinks(spark, tmp_path):
         sinks.table_to_text(spark, str(tmp_path / "p"), "t", str(tmp_path / "p"))
 
 
+def test_tables_have_a_name_for_each_column(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5)], "token string, cnt long")
+    with pytest.raises(ValueError):
+        sinks.write_table(df, str(tmp_path / "t"), ("one",))
+    sinks.write_table(df.limit(0), str(tmp_path / "t"), ("one", "two"))
+    sinks.export_counts(df, str(tmp_path / "v"), sinks.GRAMS_HEADER)
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part*"))).splitlines()
+    assert lines == ["|".join(sinks.GRAMS_HEADER), "c|5", "a|2", "b|2"]
+
+
 def test_recode(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/x.txt").write_bytes("Ёлка".encode("koi8_r"))
@@ -77,6 +90,13 @@ def test_recode(spark, tmp_path):
 def test_slug_and_stages():
     assert sinks.slug("Взыскать долг. Да/нет") == "Взыскать_долг._Да_нет"
     assert sinks.stage_paths("/x", ["a"]) == {"a": "/x/a"}
+    assert sinks.act_folders("/x", ["a/b.c.txt", "d"]) == ["/x/b.c", "/x/d"]
+    assert sinks.numbered_paths("/x", 2) == ["/x/0.txt", "/x/1.txt"]
+
+
+def test_stage_folders_leave_out_the_root(tmp_path):
+    made = sinks.make_stage_folders(sinks.stage_paths(str(tmp_path), [sinks.ROOT_STAGE, "b", "a"]), "acts")
+    assert made == [str(tmp_path / "a/acts"), str(tmp_path / "b/acts")] and not (tmp_path / sinks.ROOT_STAGE).exists()
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -11,6 +11,24 @@ def test_query_agrees_with_its_sql(name, spark, small, duck, check):
     check(QUERIES[name](spark, small), duck, SQL[name])
 
 
+#: Operators of the survey, by section. Some are parts of a query of another number, some functions that tests alone call.
+SURVEY = {"S": 15, "G": 14, "T": 25, "A": 11, "N": 9, "J": 7, "L": 3, "V": 11, "C": 7, "F": 7, "U": 2, "M": 10, "K": 13, "P": 2}
+WITHIN = {
+    "S02": "S01", "S05": "S01", "S06": "S01", "G14": "G05", "T24": "test_text", "A07": "C04", "J04": "C04", "J07": "M06", "L03": "J06", "V02": "A04", "V04": "C04",
+    "C01": "C02", "C07": "C04", "M01": "M08", "M02": "M08", "M03": "M08", "M07": "M08", "K08": "K05", "K09": "K05", "K12": "K07", "K13": "test_files", "P02": "A08",
+}
+#: Queries whose results come from training and have no SQL.
+TRAINED = {"M06_predicted_paragraphs", "M08_mode_accuracy", "M09_topics", "M10_sections_to_verdicts"}
+
+
+def test_every_operator_of_the_survey_has_a_query():
+    named = {n[:3] for n in QUERIES}
+    wanted = {f"{s}{k:02d}" for s, n in SURVEY.items() for k in range(1, n + 1)}
+    assert wanted - named == set(WITHIN) and named <= wanted
+    assert all(w in named for w in WITHIN.values() if not w.startswith("test_"))
+    assert set(QUERIES) - set(SQL) == TRAINED
+
+
 def test_topics_name_words(spark, small):
     rows = QUERIES["M09_topics"](spark, small).collect()
     assert {r.topic for r in rows} == set(range(5))

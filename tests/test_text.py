@@ -75,6 +75,54 @@ def test_lemmas_drop_or_keep_unknown_words(spark):
     assert lemmas.regathered(lemmas.lemmatized(rows, known, True), ["k"]).first().tokens == ["суд", "xyz", "дело", "дело"]
 
 
+def test_forms_and_missing_ones(spark):
+    rows = spark.createDataFrame([(1, 0, "дела"), (1, 1, "xyz")], "k int, tok_pos int, token string")
+    forms = spark.createDataFrame([("дела", "дело")], "token string, lemma string")
+    assert [r.token for r in lemmas.inflected(rows, forms, "keep").orderBy("tok_pos").collect()] == ["дело", "xyz"]
+    assert [r.token for r in lemmas.inflected(rows, forms, "drop").collect()] == ["дело"]
+    with pytest.raises(Exception, match="no form of the word xyz"):
+        lemmas.inflected(rows, forms).collect()
+
+
+def test_parts_are_normalized_and_processed(spark):
+    df = spark.createDataFrame([(1, "дела суда\n\nдела"), (2, None), (3, "")], "k int, t string")
+    forms = spark.createDataFrame([("дела", "дело")], "token string, lemma string")
+    rows = lambda unit: sorted((r.k, r.part, r.text) for r in lemmas.normalized(df, "k", "t", forms, unit).collect())
+    assert rows("paragraph") == [(1, 1, "дело суда"), (1, 2, ""), (1, 3, "дело"), (3, 1, "")]
+    assert rows("document") == [(1, 1, "дело суда\n\nдела"), (3, 1, "")]
+    got = sorted((r.k, r.par_pos, r.tokens) for r in lemmas.full_process(df, "k", "t", forms, ["суда"]).collect())
+    assert got == [(1, 1, ["дело"]), (1, 2, []), (1, 3, ["дело"]), (3, 1, [])]
+    with pytest.raises(ValueError):
+        segments.parts_of(F.col("t"), "word")
+
+
+def test_vocabulary_of_a_line_is_chosen_one_way(spark):
+    rows = spark.createDataFrame([(1, k, w) for k, w in enumerate("b a b c a b".split())], "k int, tok_pos int, token string")
+    assert {r.token for r in vocabulary.chosen(rows, more_than_times=1, most=1).collect()} == {"a", "b"}
+    assert [r.token for r in vocabulary.chosen(rows, most=1).collect()] == ["b"]
+    with pytest.raises(TypeError):
+        vocabulary.chosen(rows)
+
+
+@pytest.mark.parametrize("times", [2, 3])
+@settings(max_examples=10, deadline=None)
+@given(words=st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=14))
+def test_repeated_ngrams_in_first_seen_order(spark, times, words):
+    row = spark.createDataFrame([(words,)], "w array<string>").select(ngrams.repeated_ngrams(F.col("w"), times).alias("g")).first()
+    assert row.g == [w for w in dict.fromkeys(words) if words.count(w) >= times]
+
+
+def test_words_of_all_ngrams(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
+    both = rows.select(search.gram_words(F.col("w"), 2).alias("x"), search.with_gram_words(F.col("w"), ngrams.ngrams(F.col("w"))).alias("y")).collect()
+    assert all(r.x == r.y for r in both) and both[0].x == list("abcabbc")
+
+
+def test_result_lines(spark):
+    text = "a\nРуководствуясь статьями 1 АПК РФ\nруководствуясь ст. 2 Арбитражного процессуального кодекса\nруководствуясь ст. 3\nруководствуясь ст. 4 АПК"
+    assert one(spark, text, segments.result_lines) == text.split("\n")[1:3]
+
+
 def test_bigrams_drop_empty_paragraphs_and_trigrams_do_not(spark):
     par = spark.createDataFrame([(1, ["a", "b"]), (2, ["the"]), (3, ["the", "x", "y", "z"])], "k int, w array<string>")
     two = {r.k: r.grams for r in ngrams.with_ngrams(par, "w", 2, ["the"]).collect()}
@@ -106,10 +154,13 @@ CONCLUSION = "долг взыскать долг"
 PARS = ["суд москва", "дело номер", "взыскать долг", "долг долг взыскать пени", "отказать"]
 
 
-def searched(spark, pars, conclusion=CONCLUSION):
-    acts = spark.createDataFrame([(7, [p.split() for p in pars])], "act_id long, pars array<array<string>>")
+ACTS = "act_id long, texts array<string>, pars array<array<string>>"
+
+
+def searched(spark, pars, conclusion=CONCLUSION, output="best"):
+    acts = spark.createDataFrame([(7, pars, [p.split() for p in pars])], ACTS)
     items = spark.createDataFrame([(1, conclusion.split())], "item_id long, tokens array<string>")
-    return search.conclusion_search(acts, items).collect()
+    return search.conclusion_search(acts, items, output).collect()
 
 
 @pytest.mark.parametrize("k, want", list(enumerate([0.591751710, 0.591751710, 0.057190958, 0.0, 0.591751710])))
@@ -121,30 +172,51 @@ def test_distance_of_each_paragraph(spark, k, want):
 def test_nearest_paragraph_and_report(spark):
     found = searched(spark, PARS)
     assert [(r.item_id, r.act_id, r.par_pos) for r in found] == [(1, 7, 4)]
-    raw = spark.createDataFrame([(7, PARS)], "act_id long, pars array<string>")
-    row = search.report(spark.createDataFrame(found), raw).first()
-    assert (row.court, row.requisites, row.paragraph) == (PARS[0], PARS[2], PARS[3])
+    assert (found[0].court, found[0].requisites, found[0].paragraph) == (PARS[0], PARS[2], PARS[3])
+
+
+def test_all_paragraphs_or_the_best(spark):
+    rows = searched(spark, PARS, output="all")
+    assert [(r.par_pos, r.paragraph, r.court) for r in rows] == [(k, p, PARS[0]) for k, p in enumerate(PARS, 1)]
+    assert min(rows, key=lambda r: (r.cosine, r.par_pos)) == searched(spark, PARS)[0]
+    with pytest.raises(ValueError):
+        searched(spark, PARS, output="worst")
+
+
+def test_distances_of_the_documents_that_follow_the_first(spark):
+    docs = spark.createDataFrame([(k,) for k in range(2, 32)], "k long")
+    counts = spark.createDataFrame([(2, "a", 2), (2, "b", 1), (3, "a", 4), (3, "b", 2), (4, "c", 1), (5, "b", 1), (6, "d", 3), (30, "a", 1)], "k long, token string, cnt long")
+    near = search.sentence_distances(docs, counts, "k").collect()
+    assert [r.k for r in near] == [3, 5, 4, 6, *range(7, 24)]
+    assert [r.distance for r in near[:4]] == pytest.approx([0, 1 - 1 / 5**0.5, 1, 1], abs=1e-9) and near[4].distance is None
+    assert [r.k for r in search.sentence_distances(docs, counts, "k", n=3, reverse=True).collect()] == [4, 5, 3]
+    assert search.sentence_distances(docs.limit(0), counts, "k").collect() == []
 
 
 def test_ties_go_to_the_first_and_short_acts_have_no_requisites(spark):
     found = searched(spark, ["отказать", "номер"])
     assert found[0].par_pos == 1
-    raw = spark.createDataFrame([(7, ["отказать", "номер"])], "act_id long, pars array<string>")
-    assert search.report(spark.createDataFrame(found), raw).first().requisites is None
+    assert found[0].court == "отказать" and found[0].requisites is None
 
 
 def test_search_of_nothing(spark):
     assert searched(spark, []) == []
-    assert search.conclusion_search(spark.createDataFrame([], "act_id long, pars array<array<string>>"), spark.createDataFrame([], "item_id long, tokens array<string>")).collect() == []
+    assert search.conclusion_search(spark.createDataFrame([], ACTS), spark.createDataFrame([], "item_id long, tokens array<string>")).collect() == []
     assert searched(spark, ["a b"], "")[0].cosine == 0
 
 
 def test_blocks_of_conclusions_change_nothing(spark, monkeypatch):
-    acts = spark.createDataFrame([(k, [[f"w{(k + j) % 7}", f"w{j}"] for j in range(5)]) for k in range(6)], "act_id long, pars array<array<string>>")
+    acts = spark.createDataFrame([(k, [f"{k} {j}" for j in range(5)], [[f"w{(k + j) % 7}", f"w{j}"] for j in range(5)]) for k in range(6)] + [(8, None, None)], ACTS)
     items = spark.createDataFrame([(k, [f"w{k}", f"w{(2 * k) % 9}"]) for k in range(8)], "item_id long, tokens array<string>")
     whole = sorted(search.conclusion_search(acts, items).collect())
-    monkeypatch.setattr(search, "MOST_CELLS", 8)
-    assert sorted(search.conclusion_search(acts, items).collect()) == whole
+    assert len(whole) == 48
+    for name, least in (("MOST_CELLS", 8), ("MOST_ITEMS", 3), ("MOST_POSTINGS", 5), ("ACTS_AT_ONCE", 2)):
+        monkeypatch.setattr(search, name, least)
+        assert sorted(search.conclusion_search(acts, items).collect()) == whole
+    nearest = search.nearest_acts(search.conclusion_search(acts, items), 2).collect()
+    for k in range(8):
+        mine = sorted((r.cosine, r.act_id) for r in whole if r.item_id == k)
+        assert [(r.cosine, r.act_id) for r in sorted((r for r in nearest if r.item_id == k), key=lambda r: r.place)] == mine[:2]
 
 
 @settings(max_examples=15, deadline=None)
