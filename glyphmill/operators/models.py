@@ -6,14 +6,16 @@ from pyspark.ml.classification import MultilayerPerceptronClassificationModel, M
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from glyphmill.functions.segments import paragraphs
 from glyphmill.operators.ngrams import ngram_range
 from glyphmill.operators.vectors import MODES, indexer_tokens, term_index, vectors
 from glyphmill.operators.vocabulary import exploded
+from glyphmill.sources.scratch import stored
 
 
 def forward(docs: DataFrame, values: DataFrame, key: str, weights: DataFrame, units: DataFrame, bias: float) -> DataFrame:
@@ -36,15 +38,19 @@ def sentiment(p: Column) -> Column:
 
 
 def feature_rows(docs: DataFrame, values: DataFrame, key: str, index: DataFrame) -> DataFrame:
-    """docs with a sparse `features` vector of (key, token, value) by index (token, idx from 1); place 0 stays empty."""
-    size = (index.agg(F.max("idx")).first()[0] or 0) + 1
-
-    @F.udf(VectorUDT())
-    def vector(pairs):
-        return SparseVector(size, [(p.idx, p.value) for p in pairs or []])
+    """docs with a sparse `features` vector of (key, token, value) by index (token, idx from 1); place 0 stays empty.
 
-    placed = values.join(index, "token").groupBy(key).agg(F.collect_list(F.struct("idx", "value")).alias("_pairs"))
-    return docs.join(placed, key, "left").withColumn("features", vector("_pairs")).drop("_pairs")
+    Vectors are put together as the columns that a stored vector consists of,
+    and read back as vectors: no row passes through Python.
+    """
+    size = (index.agg(F.max("idx")).first()[0] or 0) + 1
+    placed = values.join(index, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_pairs"))
+    rows = docs.join(placed, key, "left")
+    indices = F.coalesce(F.col("_pairs.idx"), F.array().cast("array<int>"))
+    numbers = F.coalesce(F.col("_pairs.value"), F.array().cast("array<double>"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), numbers.alias("values"))
+    made = rows.withColumn("features", sparse).drop("_pairs")
+    return stored(made, StructType([StructField(f.name, VectorUDT()) if f.name == "features" else f for f in made.schema]))
 
 
 def train(rows: DataFrame, hidden: int = 50, epochs: int = 10, seed: int = 1) -> MultilayerPerceptronClassificationModel:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from glyphmill.operators.vocabulary import numbered
+from glyphmill.sources.scratch import stored
+
 #: Signs the indexer replaces by blanks; the hyphen is among them, the apostrophe isn't.
 FILTERED = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n]"
 MODES = ("binary", "count", "freq", "tfidf")
@@ -22,9 +25,10 @@ def counted_words(text: Column) -> Column:
 
 
 def term_index(tokens: DataFrame, order: list[str]) -> DataFrame:
-    """(token, idx) from 1, most frequent first, ties first seen. One task sorts the vocabulary, not the tokens."""
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order)).alias("first"))
-    return counted.select("token", F.row_number().over(W.Window.orderBy(F.desc("cnt"), "first")).alias("idx"), "cnt")
+    """(token, idx) from 1, most frequent first, ties first seen."""
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order)).alias("_first"))
+    counted = stored(counted.select("token", "cnt", F.struct((-F.col("cnt")).alias("few"), "_first").alias("_by")))
+    return numbered(counted, "_by", "idx").select("token", (F.col("idx") + 1).cast("int").alias("idx"), "cnt")
 
 
 def vectors(tokens: DataFrame, key: str, mode: str = "binary", vocabulary: DataFrame | None = None, fitted: DataFrame | None = None) -> DataFrame:

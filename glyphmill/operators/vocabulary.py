@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from glyphmill.sources.scratch import stored
+
 
 def exploded(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, tok_pos, token): a row for each token; texts are projected away before they are multiplied."""
@@ -82,10 +84,37 @@ def chosen(tokens: DataFrame, more_than_times: int | None = None, most: int | No
     raise TypeError("give more_than_times or most")
 
 
+#: Rows that numbered() sorts in one task, and rows it looks at for each bound between tasks.
+ROWS_A_BUCKET, SAMPLED = 1_000_000, 50
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df, which should be stored, with the place (from 0) of each row in the order of the column `by`.
+
+    A sample of it bounds buckets of about ROWS_A_BUCKET rows that follow one
+    another in this order; each is sorted by itself and the counts of those
+    before it are added. The sample makes tasks even, not results right.
+    """
+    n = df.count()
+    k = n // ROWS_A_BUCKET
+    bucket = F.lit(0)
+    if k:
+        seen = sorted(r[0] for r in df.select(by).sample(min(1.0, SAMPLED * k / n), seed=1).collect())  # some SAMPLED a bucket
+        bounds = [seen[(i + 1) * len(seen) // (k + 1)] for i in range(min(k, len(seen)))]
+        literal = lambda v: F.struct(*map(literal, v)) if isinstance(v, tuple) else F.lit(v)
+        # Bounds are compared field by field, as by's own type has them.
+        bucket = F.size(F.filter(F.array(*(literal(b).cast(df.schema[by].dataType) for b in bounds)), lambda b: b <= F.col(by))) if bounds else bucket
+    placed = df.withColumn("_bucket", bucket)
+    before = W.Window.orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each ROWS_A_BUCKET
+    own = F.row_number().over(W.Window.partitionBy("_bucket").orderBy(by))
+    return placed.join(F.broadcast(counts), "_bucket").withColumn(name, F.col("_before") + own - 1).drop("_bucket", "_before")
+
+
 def first_seen_index(tokens: DataFrame, order: list[str]) -> DataFrame:
-    """(token, idx) from 0 in first-seen order. Only the vocabulary is sorted in one task, never the tokens."""
-    first = tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("first"))
-    return first.select("token", (F.row_number().over(W.Window.orderBy("first")) - 1).alias("idx"))
+    """(token, idx) from 0 in first-seen order."""
+    first = stored(tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("first")))
+    return numbered(first, "first", "idx").select("token", F.col("idx").cast("int").alias("idx"))
 
 
 def profile(df: DataFrame, **counts: Column) -> DataFrame:

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 
@@ -32,3 +33,10 @@ def folder(spark: SparkSession) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
+
+
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """df as a table in a new folder, computed once however often it is read; read as another schema if one is given."""
+    to = folder(df.sparkSession)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(to)

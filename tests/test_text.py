@@ -141,6 +141,24 @@ def test_vector_modes(spark, mode, want):
     assert [r.token for r in vectors.term_index(rows, ["k", "tok_pos"]).orderBy("idx").collect()] == ["cat", "sat", "dog", "bird"]
 
 
+def test_places_from_many_buckets(spark, monkeypatch):
+    """However the rows are cut into buckets, places follow the order."""
+    rows = [(f"t{k * 7 % 101:03d}", -(k % 5), (k * 37) % 100) for k in range(100)]
+    df = spark.createDataFrame(rows, "token string, few long, first int").selectExpr("token", "struct(few, struct(first)) as at")
+    for n in (1_000_000, 40, 7):
+        monkeypatch.setattr(vocabulary, "ROWS_A_BUCKET", n)
+        got = {r.token: r.place for r in vocabulary.numbered(df, "at", "place").collect()}
+        assert [t for t, _ in sorted(got.items(), key=lambda x: x[1])] == [t for t, _, _ in sorted(rows, key=lambda r: r[1:])] and sorted(got.values()) == list(range(100))
+
+
+def test_feature_rows_are_sparse_vectors(spark):
+    docs = spark.createDataFrame([(1, 0), (2, 1)], "k int, label int")
+    values = spark.createDataFrame([(1, "b", 0.5), (1, "a", 2.0), (1, "other", 1.0)], "k int, token string, value double")
+    index = spark.createDataFrame([("a", 1), ("b", 3)], "token string, idx int")
+    got = {r.k: r.features for r in models.feature_rows(docs, values, "k", index).collect()}
+    assert got[1].size == 4 and got[1].toArray().tolist() == [0, 2, 0, 0.5] and got[2].toArray().tolist() == [0, 0, 0, 0]
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         vectors.vectors(spark.createDataFrame([(1, "a")], "k int, token string"), "k", "other")
