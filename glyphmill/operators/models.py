@@ -31,6 +31,11 @@ def forward(docs: DataFrame, values: DataFrame, key: str, weights: DataFrame, un
     return active.groupBy(key).agg((1 / (1 + F.exp(-(F.sum("a") + F.lit(bias))))).alias("p"))
 
 
+def if_likely(p: Column, at: float = 0.85) -> Column:
+    """the probability as text, or nothing below the threshold."""
+    return F.when(p < at, F.lit("")).otherwise(p.cast("string"))
+
+
 def sentiment(p: Column) -> Column:
     """(percent, label); one half counts as negative, as rounding to even has it."""
     negative = F.bround(p) == 0

@@ -37,6 +37,11 @@ def descending(counts: DataFrame, *ties: str) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), *(ties or ("token",)))
 
 
+def sorted_keys(df: DataFrame, key: str) -> DataFrame:
+    """the distinct values of a column in order, nulls left out."""
+    return df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key)
+
+
 def most_common(tokens: DataFrame, k: int, order: list[str]) -> DataFrame:
     """the k most frequent tokens, ties in first-seen order of the columns `order`."""
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order)).alias("first"))

@@ -310,9 +310,17 @@ query("T07_inflected", f"select doc_id, string_agg({_MAPPED.replace('[x], x', '[
 query("T16_normalized", f"select doc_id, cast(unnest(range(1, len(p) + 1)) as integer) as part, array_to_string(list_transform(string_split(unnest(p), ' '), lambda x: {_MAPPED}), ' ') as text from (select doc_id, string_split(text, chr(10)) as p from documents)")(lambda s, d: lemmas.normalized(_table(s, d, "documents"), "doc_id", "text", _dictionary(s)))
 _PROCESSED = f"list_transform(list_filter({TOKENS.replace('(text)', '(par)')}, lambda x: x not in {_in(STOPS)}), lambda x: {_MAPPED})"
 query("T18_full_process", f"select doc_id, par_pos, array_to_string({_PROCESSED}, ' ') as v from (select doc_id, cast(unnest(range(1, len(p) + 1)) as integer) as par_pos, unnest(p) as par from (select doc_id, string_split(text, chr(10)) as p from documents))")(lambda s, d: lemmas.full_process(_table(s, d, "documents"), "doc_id", "text", _dictionary(s), STOPS).select("doc_id", "par_pos", _joined(F.col("tokens")).alias("v")))
-_projection("T22_flattened", "documents", "doc_id", lambda: F.size(F.flatten(F.transform(segments.split_paragraphs(TEXT("text")), lambda p: tokens.word_tokens(p)))).cast("long"), f"cast(len(flatten(list_transform({PARS}, lambda p: {TOKENS.replace('(text)', '(p)')}))) as bigint)")
+_projection("T22_flattened", "documents", "doc_id", lambda: F.array_join(F.flatten(F.transform(segments.split_paragraphs(TEXT("text")), lambda p: tokens.word_tokens(p))), " "), f"array_to_string(flatten(list_transform({PARS}, lambda p: {TOKENS.replace('(text)', '(p)')})), ' ')")
 _projection("T23_times_286", "documents", "doc_id", lambda: tokens.times_286(TEXT("n_chars")), "n_chars * 286")
-_projection("T25_verdict_text", "documents", "doc_id", lambda: tokens.with_verdict(TEXT("source"), (TEXT("doc_id") % 8) / 8, "02_DEM"), "case when (doc_id % 8) / 8 < 0.85 then source else source || '   ' || cast((doc_id % 8) / 8 as varchar) || '# 02_DEM' end")
+#: A text's share of the letters a to z, in place of a probability.
+_SHARE = "round(length(regexp_replace(text, '[^a-z]', '', 'g')) / greatest(length(text), 1), 6)"
+
+
+def _share() -> Column:
+    return F.round(F.length(F.regexp_replace("text", "[^a-z]", "")) / F.greatest(F.length("text"), F.lit(1)), 6)
+
+
+_projection("T25_verdict_text", "documents", "doc_id", lambda: tokens.with_verdict(TEXT("source"), _share(), "02_DEM", 0.8), f"case when {_SHARE} < 0.8 then source else source || '   ' || cast({_SHARE} as varchar) || '# 02_DEM' end")
 
 
 def _doc_tokens(spark: SparkSession, d: str, tab: str = "documents", key: str = "doc_id") -> DataFrame:
@@ -370,9 +378,9 @@ query("F01_more_than", f"select * from ({COUNTS}) where cnt > 5")(lambda s, d: v
 query("F02_most_common", f"select token, cnt from (select token, count(*) as cnt, min(struct_pack(a := doc_id, b := tok_pos)) as f from ({DOC_ROWS}) group by token order by cnt desc, f limit 50)")(lambda s, d: vocabulary.most_common(_doc_tokens(s, d), 50, ["doc_id", "tok_pos"]))
 query("F03_descending", f"{COUNTS} order by cnt desc, token")(lambda s, d: vocabulary.descending(vocabulary.word_counts(_doc_tokens(s, d))))
 query("F04_at_least", f"select * from ({COUNTS}) where cnt >= 2")(lambda s, d: vocabulary.at_least(vocabulary.word_counts(_doc_tokens(s, d))))
-query("F05_sorted_keys", "select distinct source from documents where source is not null order by source")(lambda s, d: _table(s, d, "documents").select("source").filter("source is not null").distinct().orderBy("source"))
-query("F06_threshold", "select doc_id, case when (doc_id % 8) / 8 < 0.85 then '' else cast((doc_id % 8) / 8 as varchar) end as v from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", F.when((F.col("doc_id") % 8) / 8 < 0.85, "").otherwise(((F.col("doc_id") % 8) / 8).cast("string")).alias("v")))
-query("F07_sentiment", "select doc_id, case when (doc_id % 8) / 8 <= 0.5 then 1 - (doc_id % 8) / 8 else (doc_id % 8) / 8 end as share, case when (doc_id % 8) / 8 <= 0.5 then 'NEGATIVE' else 'POSITIVE' end as label from documents")(lambda s, d: _table(s, d, "documents").select("doc_id", models.sentiment((F.col("doc_id") % 8) / 8).alias("s")).select("doc_id", "s.share", "s.label"))
+query("F05_sorted_keys", "select distinct source from documents where source is not null order by source")(lambda s, d: vocabulary.sorted_keys(_table(s, d, "documents"), "source"))
+_projection("F06_threshold", "documents", "doc_id", lambda: models.if_likely(_share(), 0.8), f"case when {_SHARE} < 0.8 then '' else cast({_SHARE} as varchar) end")
+query("F07_sentiment", f"select doc_id, round(case when p <= 0.5 then 1 - p else p end, 6) as share, case when p <= 0.5 then 'NEGATIVE' else 'POSITIVE' end as label from (select doc_id, {_SHARE} as p from documents)")(lambda s, d: _table(s, d, "documents").select("doc_id", models.sentiment(_share()).alias("s")).select("doc_id", F.round("s.share", 6).alias("share"), "s.label"))
 query("U01_union", "select doc_id as id, text, 1 as label from documents union all select item_id, text, 0 from benchmark")(lambda s, d: files.labelled(_table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), _table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 query("U02_distinct", f"select distinct token from ({ITEM_ROWS})")(lambda s, d: vocabulary.distinct_longer(_doc_tokens(s, d, "benchmark", "item_id")))
 
