@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,27 +22,79 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dir: list[str] = []
+#: Paths of tables that are cut, by their DataFrame, and the lists that open scopes add them to.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one.
+
+    A temporary folder is on one machine, so it is made only where driver and
+    executors are one process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="glyphmill-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends, and a lost executor costs nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends, and a lost executor costs nothing.
+
+    The table goes when the session ends, with free(), or with the scope it
+    was cut in.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    for s in _scopes:
+        s.append(path)
+    return out
+
+
+def free(*dfs: DataFrame) -> None:
+    """Deletes tables that were cut and that nothing will read again."""
+    for df in dfs:
+        if path := _paths.pop(df, None):
+            place, files = _place(df.sparkSession, path)
+            files.delete(place, True)
+
+
+@contextlib.contextmanager
+def scope(paths: list[str]) -> Iterator[None]:
+    """Adds the paths of tables cut within it to paths, for free_paths()."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def free_paths(spark: SparkSession, paths: list[str], but_for: DataFrame) -> None:
+    """Deletes these tables, except any that but_for still reads; takes what it deletes from paths."""
+    read = but_for.inputFiles() if paths else []
+    for path in list(paths):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            place, files = _place(spark, path)
+            files.delete(place, True)
+            paths.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,8 +147,8 @@ def ranked(df: DataFrame, group: list[str], shuffled: str, ties: list[str], n_ro
     return df.join(counts, keys).withColumn("rank", F.col("_before") + F.row_number().over(order) - 1).drop("_bucket", "_before")
 
 
-#: Blocks of 64 bits of a Bloom filter at most: 2**17 rows of 16 bytes, however many values. A fuller filter only passes more on.
-MOST_BLOCKS = 1 << 17
+#: Blocks of 64 bits of a Bloom filter at most: 2**20 rows of 16 bytes, however many values. Over 4 million values it is fuller and only passes more on.
+MOST_BLOCKS = 1 << 20
 BITS_A_VALUE, PROBES = 16, 5
 
 
@@ -118,16 +172,23 @@ def bloom_blocks(values: DataFrame, n_values: int) -> tuple[DataFrame, int]:
     return values.select(bloom_block(v, n_blocks).alias("block"), bloom_mask(v).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("bits")), n_blocks
 
 
+def marked(df: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
+    """df with `_maybe`: whether value may be among the values of wanted's only column; never false for one that is.
+
+    wanted is read twice; pass it cut.
+    """
+    blocks, n_blocks = bloom_blocks(wanted, wanted.count())
+    tested = df.withColumn("_block", bloom_block(value, n_blocks)).join(F.broadcast(blocks.withColumnsRenamed({"block": "_block", "bits": "_bits"})), "_block", "left")  # at most MOST_BLOCKS rows
+    return tested.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bloom_mask(value)) == bloom_mask(value), F.lit(False))).drop("_block", "_bits")
+
+
 def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """Rows of df whose column may be among the values of wanted's only column; none that is is lost.
 
     Goes ahead of an exact join, so that what can't match is never shuffled.
     wanted is read twice; pass it cut.
     """
-    blocks, n_blocks = bloom_blocks(wanted, wanted.count())
-    v = F.col(column)
-    tested = df.withColumn("_block", bloom_block(v, n_blocks)).join(F.broadcast(blocks.withColumnsRenamed({"block": "_block", "bits": "_bits"})), "_block")  # at most MOST_BLOCKS rows
-    return tested.filter(F.col("_bits").bitwiseAND(bloom_mask(v)) == bloom_mask(v)).select(*df.columns)
+    return marked(df, F.col(column), wanted).filter("_maybe").select(*df.columns)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -135,7 +196,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star: each node's neighbours are joined to
     its smallest one. A star of any size settles within two rounds, a path of
-    n nodes in O(log n). Every round's edges are cut to the shared folder.
+    n nodes in O(log n). Every round's edges are cut to the shared folder, and
+    the last round's are deleted.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     seen = None
@@ -149,6 +211,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
         small = cut(small)
         state = small.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        free(now, large)
         now = small
         if state == seen:
             break
