@@ -9,8 +9,8 @@ from glyphmill.llm._shared import ascii_lower, bloom_block, bloom_blocks, bloom_
 
 #: Verdict by host and path prefix; the longest rule that fits wins.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Sites whose known pages make up the list of the query.
-LISTED_SITES = r"(^|\.)(casino-win|free-bets|cheap-pills)\.example\.(com|net|org)$"
+#: The query's list has the urls of pages with such a title, words between bars, as a reviewer of page contents might list them.
+LISTED_TITLE = r"<title>[^<]* \| [^<]*</title>"
 
 
 def host_of(url: Column) -> Column:
@@ -24,9 +24,8 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """The URL without scheme, leading `www.`, query, fragment, `.html` and closing slashes; null where there is no host."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html$", "")
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^www\.", ""), bare))
+    """The URL without scheme, leading `www.`, query, fragment, `.html` and slashes at the end; null where there is no host."""
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www\.)+", ""), F.regexp_replace(path, r"(?:/|\.html)+$", "")))
 
 
 def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column:
@@ -39,8 +38,17 @@ def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
     return F.lit(None).cast("string") if out is None else out
 
 
+def marked(seen: DataFrame, urls: DataFrame) -> DataFrame:
+    """seen with `maybe`: whether its canon may be among those of urls (canon, cut); never false for one that is, null canons aside."""
+    blocks, n_blocks = bloom_blocks(urls, urls.count())
+    blocks = F.broadcast(blocks)  # at most MOST_BLOCKS rows
+    tested = seen.withColumn("block", bloom_block(F.col("canon"), n_blocks)).join(blocks, "block", "left")
+    mask = bloom_mask(F.col("canon"))
+    return tested.withColumn("maybe", F.col("canon").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("block", "bits")
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """page_id, host, path, rule, listed and verdict of every row of pages (page_id, url).
+    """page_id, host, path, rule, listed and verdict of every row of pages (page_id, url); an empty table gives none.
 
     A rule's verdict stands. Other urls are blocked if their canonical form is
     that of a url in listed (url), else allowed; null urls and urls without
@@ -50,14 +58,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) ->
     """
     urls = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("canon")).filter("canon is not null").distinct()
     urls = cut(urls)
-    blocks, n_blocks = bloom_blocks(urls, urls.count())
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = seen.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     seen = seen.withColumn("canon", F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
-    blocks = F.broadcast(blocks)  # at most MOST_BLOCKS rows
-    tested = seen.withColumn("block", bloom_block(F.col("canon"), n_blocks)).join(blocks, "block", "left")
-    mask = bloom_mask(F.col("canon"))
-    tested = tested.withColumn("maybe", F.col("canon").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)))
+    tested = marked(seen, urls)
     columns = ["page_id", "host", "path", "rule"]
     passed = tested.filter(~F.col("maybe")).select(*columns, F.lit(False).alias("listed"))
     exact = urls.select("canon", F.lit(True).alias("listed"))
@@ -70,12 +74,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, pages.filter(host_of(F.col("url")).rlike(LISTED_SITES)).select("url"))
+    """The list has each url in another spelling, so that only the canonical form finds it; other pages of that form are found with it."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    bare = F.regexp_replace(canonical(host, path), r"^[^/]*", "")
+    spelled = F.concat(F.lit("HTTP://WWW."), F.upper(F.regexp_replace(host, r"^(?:www\.)+", "")), bare, F.lit("/?list"))
+    listed = pages.filter(F.col("html").rlike(LISTED_TITLE) & (host != "")).select(spelled.alias("url"))
+    return judge(pages.select("page_id", "url"), listed)
 
 
 _PARTS = r"""
-  select page_id, url,
+  select page_id, url, html,
     translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') as path
   from pages
@@ -84,11 +93,11 @@ _PARTS = r"""
 SQL = rf"""
 with parts as ({_PARTS}),
 named as (
-  select *, case when host <> '' then regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html$', '') end as canon
+  select *, case when host <> '' then regexp_replace(host, '^(?:www\.)+', '') || regexp_replace(path, '(?:/|\.html)+$', '') end as canon
   from parts),
 rules(rule, says) as (values ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
 cutup as (select rule, says, split_part(rule, '/', 1) as domain, substr(rule, strpos(rule, '/')) as start from rules),
-listed as (select distinct canon from named where canon is not null and regexp_matches(host, '{LISTED_SITES}'))
+listed as (select distinct canon from named where canon is not null and regexp_matches(html, '{LISTED_TITLE}'))
 select n.page_id, n.host, n.path, w.rule, w.rule is null and l.canon is not null as listed,
   coalesce(w.says, case when l.canon is not null then 'block' else 'allow' end) as verdict
 from named n
