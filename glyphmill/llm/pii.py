@@ -87,16 +87,32 @@ def _long_number(f: Feistel, s: str, inverse: bool) -> str | None:
             return _refill(s, out)
 
 
+# How many digits follow a country code that fixes it; the length of an IBAN by country.
+PHONE_DIGITS = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "39": (6, 11), "44": (9, 10), "49": (6, 11), "55": (10, 11), "61": (9, 9), "81": (9, 10), "86": (11, 11), "91": (10, 10)}
+OTHER_PHONES = (7, 14)
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, ES=24, FI=18, FO=18, FR=27, GB=22,
+    GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19,
+    MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SE=24, SI=19, SK=24, SM=27, TN=24, TR=26, UA=29, VG=24, XK=20,
+)
+
+
 def _phone(f: Feistel, s: str, inverse: bool) -> str | None:
-    """+, a country code that stays, and 7 to 14 further digits."""
+    """+, a country code that stays, and further digits, as many as the code asks for."""
     head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|\+", s)[0]
     rest = s[len(head) :]
     d = _digits(rest)
-    if not 7 <= len(d) <= 14:
+    least, most = PHONE_DIGITS.get(head[1:], OTHER_PHONES)
+    if not least <= len(d) <= most:
         return None
     return head + _refill(rest, str(f.permute(int(d), 10 ** len(d), f"phone{head}{len(d)}", inverse)).zfill(len(d)))
 
 
+def _local_phone(f: Feistel, s: str, inverse: bool) -> str | None:
+    """Three, three and four digits, as phones are written without a country code."""
+    return _refill(s, str(f.permute(int(_digits(s)), 10**10, "local", inverse)).zfill(10))
+
+
 def _ssn_ok(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -123,6 +139,8 @@ def _ipv4(f: Feistel, s: str, inverse: bool) -> str | None:
 def _iban(f: Feistel, s: str, inverse: bool) -> str | None:
     """Valid by its remainder mod 97; country, length, letters' places and check digits' rule stay."""
     bare = s.replace(" ", "")
+    if IBAN_LENGTHS.get(bare[:2], len(bare)) != len(bare):
+        return None
     number = lambda t: int("".join(str(int(c, 36)) for c in t))
     if not 15 <= len(bare) <= 34 or number(bare[4:] + bare[:4]) % 97 != 1:
         return None
@@ -164,36 +182,50 @@ def _date(f: Feistel, s: str, inverse: bool) -> str | None:
     return None
 
 
-_EMAIL_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+def _same_kinds(f: Feistel, s: str, tweak: str, inverse: bool) -> str:
+    """Letters a-z stay letters in their case, digits digits, other signs themselves. Case changes nothing else."""
+    kinds = ["abcdefghijklmnopqrstuvwxyz" if c.isalpha() else "0123456789" for c in s if c.isalnum()]
+    x, n = 0, 1
+    for c, signs in zip((c for c in s.lower() if c.isalnum()), kinds, strict=True):
+        x, n = x * len(signs) + signs.index(c), n * len(signs)
+    x = f.permute(x, n, tweak + "".join(signs[0] for signs in kinds), inverse)
+    out = []
+    for signs in reversed(kinds):
+        x, k = divmod(x, len(signs))
+        out.append(signs[k])
+    new = (out.pop() if c.isalnum() else c for c in s)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, s, strict=True))
 
 
 def _email(f: Feistel, s: str, inverse: bool) -> str | None:
-    """Letters and digits of the part before @ are permuted together (in lower case); dots, length and domain stay."""
+    """The part before @ as _same_kinds() has it; the domain stays."""
     local, _, domain = s.rpartition("@")
-    chars = [c for c in local.lower() if c in _EMAIL_LETTERS]
-    x = 0
-    for c in chars:
-        x = x * 36 + _EMAIL_LETTERS.index(c)
-    x = f.permute(x, 36 ** len(chars), f"email{len(chars)}", inverse)
-    out = []
-    for _ in chars:
-        x, k = divmod(x, 36)
-        out.append(_EMAIL_LETTERS[k])
-    return "".join(out.pop() if c.lower() in _EMAIL_LETTERS else c for c in local) + "@" + domain
+    return f"{_same_kinds(f, local, 'email', inverse)}@{domain}"
+
+
+def _secret(f: Feistel, s: str, inverse: bool) -> str | None:
+    """An access key behind its mark of four letters, or a hexadecimal or other value that a name of its kind stands before."""
+    if s.startswith("AKIA"):
+        return "AKIA" + _same_kinds(f, s[4:], "access", inverse)
+    return _same_kinds(f, s, "secret", inverse)
 
 
+_DATES = "|".join(f"[0-9]{{4}}{sep}[0-9]{{1,2}}{sep}[0-9]{{1,2}}|[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{4}}" for sep in ("-", r"\.", "/"))
 #: Kinds by name, in the order of preference where two could begin at one place.
 KINDS: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}", _email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    "secret": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,128}(?![A-Za-z0-9])|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])", _secret),
     "phone": (r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![0-9])", _phone),
     "ipv4": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ipv4),
-    "date": (r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
+    "date": (rf"(?<![0-9./-])(?:{_DATES})(?![0-9]|[./-][0-9])", _date),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     "card": (r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[-][0-9])", _card),
+    "local": (r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", _local_phone),
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{re.sub(chr(92) * 2 + '([12])', lambda m: f'(?P=sep{m[1]})', p).replace('([-./])', '(?P<sep1>[-./])', 1).replace('([-./])', '(?P<sep2>[-./])', 1)})" for k, (p, _) in KINDS.items()))
-_HINT = re.compile(r"[0-9@]")
+_EACH = {k: re.compile(p) for k, (p, _) in KINDS.items()}
+_ANY = re.compile("|".join(f"(?:{p})" for p, _ in KINDS.values()))
+_HINT = re.compile(r"[0-9@]|password=")
 
 
 @functools.cache
@@ -210,6 +242,23 @@ def _pseudonym(key: bytes, kind: str, value: str, inverse: bool) -> str | None:
     return out
 
 
+def _valid_at(text: str, at: int, key: bytes, inverse: bool) -> tuple[str, int, str] | None:
+    """The kind, end and pseudonym of the value that begins here, if one does.
+
+    An IBAN or phone whose pattern takes words or numbers that follow it is
+    tried again without its last groups.
+    """
+    for kind, pattern in _EACH.items():
+        if m := pattern.match(text, at):
+            ends = [len(m[0])]
+            if kind in ("iban", "phone"):
+                ends += [k.start() for k in re.finditer("[ .-]", m[0])][::-1]
+            for n in ends:
+                if (out := _pseudonym(key, kind, m[0][:n], inverse)) is not None:
+                    return kind, at + n, out
+    return None
+
+
 def pseudonymise(text: str, key: bytes = KEY, inverse: bool = False) -> tuple[str, dict[str, int]]:
     """The text with valid values permuted within their form, and how many of each kind; inverse undoes it.
 
@@ -220,16 +269,17 @@ def pseudonymise(text: str, key: bytes = KEY, inverse: bool = False) -> tuple[st
     counts: dict[str, int] = {}
     if not _HINT.search(text):
         return text, counts
-
-    def swap(m: re.Match) -> str:
-        out = _pseudonym(key, m.lastgroup if m.lastgroup in KINDS else "date", m[0], inverse)
-        if out is None:
-            return m[0]
-        kind = m.lastgroup if m.lastgroup in KINDS else "date"
+    out, done, at = [], 0, 0
+    while m := _ANY.search(text, at):
+        found = _valid_at(text, m.start(), key, inverse)
+        if not found:
+            at = m.start() + 1
+            continue
+        kind, end, new = found
+        out += [text[done : m.start()], new]
         counts[kind] = counts.get(kind, 0) + 1
-        return out
-
-    return _ANY.sub(swap, text), counts
+        done = at = end
+    return "".join([*out, text[done:]]), counts
 
 
 def _run(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
