@@ -39,7 +39,7 @@ def _encoding(path: str):
     vocab, byte = spec["model"]["vocab"], _byte_of()
     special = {t["content"] for t in spec["added_tokens"]}  # their strings in a text are ordinary text
     merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
-    if [vocab[m] for m in merged] != sorted(vocab[m] for m in merged) or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+    if [vocab[m] for m in merged] != sorted(vocab[m] for m in merged) or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or not spec["pre_tokenizer"].get("use_regex", True) or spec.get("normalizer"):
         raise ValueError(f"{path} is no byte-level vocabulary whose ids follow its merges")
     ranks = {bytes(byte[c] for c in t): k for t, k in vocab.items() if t not in special}
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -97,7 +97,7 @@ class Plan:
 
 
 def _reduce(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Takes from counts the sets that Martello and Toth's dominance test fixes, of one to three lengths.
+    """Takes from counts the sets that Martello and Toth's dominance test fixes, of one and two lengths.
 
     For each length w, longest first: alone, if the shortest other piece
     doesn't fit beside it; with the longest b that fits, if w + b fills the
@@ -211,10 +211,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     n = sum(counts.values())
     at = _places(plan(counts, capacity))
-    spark = pieces.sparkSession
-    schema = "length long, first long, many long, sequence long, offset long"
-    listed = ",".join("({},{},{},{},{})".format(*x) for x in at) if at else "(0,0,0,0,0)"
-    places = spark.sql(f"select cast(col1 as long) length, cast(col2 as long) first, cast(col3 as long) many, cast(col4 as long) sequence, cast(col5 as long) offset from values {listed}") if len(at) < 400 else spark.createDataFrame(at, schema)
+    places = pieces.sparkSession.createDataFrame(at, "length long, first long, many long, sequence long, offset long")
     places = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "offset"))).alias("spans"))
     pieces = pieces.withColumn("_h", F.md5(F.concat_ws(":", "doc_id", "piece", "ids_crc32").cast("binary")))
     r = ranked(pieces, ["length"], "_h", ["doc_id", "piece", "start", "ids_crc32"], n).join(F.broadcast(places), "length")

@@ -107,7 +107,12 @@ def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
 
 
 def classify(documents: DataFrame, ensemble: Ensemble, at: float = AT) -> DataFrame:
-    """documents with statistics, score and predicted; null and empty texts are scored by their (zero) statistics."""
+    """documents with statistics, score and predicted.
+
+    Null and empty texts are scored by their (zero) statistics. Each row is
+    scored by itself: repeated rows alike, null doc_ids like any other, an
+    empty table gives none. A score of exactly `at` is predicted 1.
+    """
     out = with_stats(documents).withColumn("score", ensemble.score())
     return out.withColumn("predicted", (F.col("score") >= at).cast("int"))
 

@@ -19,7 +19,8 @@ def interleave(documents: DataFrame, shards: int = SHARDS, seed: str = SEED, per
     evenly, so cutting the order into runs of equal length gives every shard
     the mixture, with row counts at most one apart (law `rows`).
 
-    A null source is a source of its own; a null text has size 1. Ties of the
+    Equal texts go to whatever shards their rows' places fall into, as this
+    law allows. A null source is a source of its own; a null text has size 1. Ties of the
     hash (repeated doc_ids) go by text checksum, then size; rows equal in all
     of these may swap places, which changes nothing in the result. Ranks come
     from bucket counts, so neither a hot source nor the whole order is ever

@@ -136,9 +136,11 @@ class Restorer:
 def restored_words(words: list[str], restorer: Restorer, cache: dict[str, tuple[str, ...]]) -> set[str]:
     """The distinct words of a text as they would read undisguised, in lower case.
 
-    Plain words only lose punctuation at their ends. Tokens with signs among
+    Plain words only lose punctuation at their ends. Tokens with signs beside
     letters or a letter three times running, and runs of three or more
-    one-character tokens, are decoded; the plain reading stays beside it.
+    one-character tokens, are decoded; the plain reading stays beside it. A
+    letter said just twice, and words cut into parts of two letters or more,
+    are not taken for disguise: plain text is full of both.
     """
     out: set[str] = set()
     for w in set(words):
@@ -147,7 +149,7 @@ def restored_words(words: list[str], restorer: Restorer, cache: dict[str, tuple[
             bare = _ENDS.sub("", w)
             low = bare.lower()
             got = (low,)
-            if _ODD.search(bare) and len(_LETTER.findall(bare)) >= 2:
+            if _ODD.search(bare) and _LETTER.search(bare):
                 got = (low, *restorer.decode(bare).split())
             if w[:1] in "$(@!|" or w[-1:] in "!|":
                 got = (*got, *restorer.decode(w).split()) if sum(map(str.isalpha, w)) >= 2 and not w.endswith("!!") else got
@@ -240,8 +242,10 @@ def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     """The model for documents (doc_id, text) with labels (doc_id, toxic) that may be learned from.
 
     The language model counts all texts. Features are the words and prefixes
-    that labelled toxic texts hold most significantly more often; a lasso
-    logistic fit weighs them. Without labels the score is the smoothed share.
+    that labelled toxic texts hold most significantly more often, the
+    MOST_FEATURES best of those in LEAST_TEXTS texts or more; a lasso logistic
+    fit weighs them. Without labels the score is the smoothed share. Repeated
+    rows of a labelled doc_id are learned from as often as they stand.
     """
     costs = language_model(trigram_counts(documents))
     chosen = bounded_sample(agreed_labels(labels, "toxic"), most_labelled)
@@ -278,7 +282,12 @@ def _scores(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def score(documents: DataFrame, model: Model, at: float = AT) -> DataFrame:
-    """doc_id, score and predicted of every row of documents (doc_id, text); null and empty texts hold no words and get the intercept's score."""
+    """doc_id, score and predicted of every row of documents (doc_id, text).
+
+    Null and empty texts hold no words and get the intercept's score. Each row
+    is scored by itself: repeated rows alike, null doc_ids like any other, an
+    empty table gives none. A score of exactly `at` counts as toxic.
+    """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(functools.partial(_scores, model), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= at).cast("int"))
 
