@@ -20,11 +20,12 @@ def interleave(documents: DataFrame, shards: int = SHARDS, seed: str = SEED, per
     the mixture, with row counts at most one apart (law `rows`).
 
     Equal texts go to whatever shards their rows' places fall into, as this
-    law allows. A null source is a source of its own; a null text has size 1. Ties of the
-    hash (repeated doc_ids) go by text checksum, then size; rows equal in all
-    of these may swap places, which changes nothing in the result. Ranks come
-    from bucket counts, so neither a hot source nor the whole order is ever
-    sorted in one task.
+    law allows. A null source is a source of its own; a null text has size 1.
+    The hash is of doc_id and text, so rows without doc_id are dealt out as
+    well. Its ties go by text checksum, then size; rows equal in all of these
+    may swap places, which changes nothing in the result. Ranks come from
+    bucket counts, so neither a hot source nor the whole order is ever sorted
+    in one task.
     """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(
@@ -32,7 +33,7 @@ def interleave(documents: DataFrame, shards: int = SHARDS, seed: str = SEED, per
         "source",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("h"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(text.cast("binary"))).cast("binary")).alias("h"),
         F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source"))).alias("stratum"),
     )
     rows = cut(rows)
@@ -70,12 +71,15 @@ with bytes as (
   select doc_id, source, coalesce(text, '') as t,
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as b
   from documents),
+summed as (
+  select doc_id, source, t,
+    xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, list_extract(cast({_crc_table()} as bigint[]), cast(xor(c, x) & 255 as bigint) + 1))), cast(4294967295 as bigint)) as text_crc32
+  from bytes),
 rows_ as (
-  select doc_id, source, cast(strlen(t) + 1 as bigint) as size,
-    xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, list_extract(cast({_crc_table()} as bigint[]), cast(xor(c, x) & 255 as bigint) + 1))), cast(4294967295 as bigint)) as text_crc32,
-    md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as h,
+  select doc_id, source, cast(strlen(t) + 1 as bigint) as size, text_crc32,
+    md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null') || ':' || text_crc32) as h,
     case when source is null then '0' else '1' || source end as stratum
-  from bytes),
+  from summed),
 placed as (
   select *, (2 * (row_number() over (partition by stratum order by h, text_crc32, size) - 1) + 1) / (2.0::double * count(*) over (partition by stratum)) as place
   from rows_),
