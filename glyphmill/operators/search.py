@@ -168,8 +168,11 @@ def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "be
 def _scored(acts: DataFrame, shared: Broadcast, every: bool) -> DataFrame:
     def rows(part: pa.RecordBatch, known: dict[str, int], blocks: list[Block]) -> Iterator[pa.RecordBatch]:
         ids, texts, pars = part.column(0), part.column(1), part.column(2)
-        bounds, tokens = pars.offsets.to_numpy(), pars.values.slice(pars.offsets[0].as_py(), pars.offsets[-1].as_py() - pars.offsets[0].as_py())
-        bounds, first = bounds - bounds[0], texts.offsets.to_numpy()
+        bounds, first = pars.offsets.to_numpy(), texts.offsets.to_numpy()
+        if not part.num_rows or bounds[0] == bounds[-1]:
+            return  # no paragraphs; the arrays below would have no offsets
+        tokens = pars.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds = bounds - bounds[0]
         cells = _cells(tokens, known, len(tokens))
         step = max(1, MOST_CELLS // max(1, len(known), *(len(b.ids) for b in blocks)))
         live = [k for k in range(part.num_rows) if bounds[k + 1] > bounds[k]]
