@@ -6,7 +6,7 @@ Both take insertions and deletions of documents, so incremental dedup can be und
 from __future__ import annotations
 
 import functools
-import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import cut, table
+from glyphmill.llm._shared import cut, likely, marked, table
 
 LEAST_CHARS, LEAST_DOCUMENTS = 40, 5
 #: Keys a shard's filter is meant for, and bytes of all filters beyond which they aren't broadcast and every key goes to the exact join.
@@ -188,30 +188,59 @@ def dropped_keys(postings: DataFrame, frequent: DataFrame) -> DataFrame:
     return lost.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drops"))
 
 
-def _restore(least_chars: int, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            columns = ([], [], [], [])
-            for text, drops in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                lines = (text or "").encode().split(b"\n")
-                kept = lines
-                if drops:
-                    gone = {d["k1"].to_bytes(8, "little", signed=True) + d["k2"].to_bytes(8, "little", signed=True) for d in drops}
-                    kept = [x for x in lines if key_hash(x, least_chars) not in gone]
-                joined = b"\n".join(kept)
-                columns[0].append(len(lines))
-                columns[1].append(len(lines) - len(kept))
-                columns[2].append(joined.decode() if with_text and (text is not None) else None)
-                columns[3].append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
+def _without(text: str | None, drops: list[dict], least_chars: int) -> tuple[int, str]:
+    """How many lines of text have one of these keys, and the text without them."""
+    gone = {d["k1"].to_bytes(8, "little", signed=True) + d["k2"].to_bytes(8, "little", signed=True) for d in drops}
+    lines = (text or "").encode().split(b"\n")
+    kept = [x for x in lines if key_hash(x, least_chars) not in gone]
+    return len(lines) - len(kept), b"\n".join(kept).decode()
+
+
+def _cleaner(least_chars: int):
+    """An Arrow function (text, drops) -> (n_dropped, kept) of rows that lose lines."""
+
+    def clean(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        out = [_without(t, d, least_chars) for t, d in zip(texts.to_pylist(), drops.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["n_dropped", "kept"])
+
+    return F.arrow_udf(clean, "n_dropped long, kept string")
+
+
+def _cleaned(packed: DataFrame, drops: DataFrame, least_chars: int) -> DataFrame:
+    """packed (row, a struct with doc_id and text) with `out`: (n_dropped, kept), or null for a row that loses nothing.
+
+    A Bloom filter of the doc_ids in drops tells most rows that lose nothing
+    apart: these are neither joined nor shuffled, nor read by Python. drops
+    (doc_id, drops) grows with the documents and is never broadcast.
+    """
+    drops = cut(drops)
+    tested = marked(packed.withColumn("_id", F.col("row.doc_id").cast("long")), F.col("_id"), drops.select("doc_id"))
+    nothing = F.lit(None).cast("struct<n_dropped:bigint,kept:string>")
+    same = tested.filter(~F.col("_maybe")).select("row", nothing.alias("out"))
+    lost = drops.select(F.col("doc_id").alias("_id"), "drops").hint("merge")
+    joined = tested.filter("_maybe").join(lost, "_id", "left").select("row", "drops")
+    text = F.col("row.text").cast("string")
+    out = F.when(F.col("drops").isNotNull(), _cleaner(least_chars)(text, F.coalesce("drops", F.array().cast("array<struct<k1:bigint,k2:bigint>>"))))
+    return same.unionByName(joined.select("row", out.alias("out")))
+
+
+def _packed(documents: DataFrame) -> DataFrame:
+    """Each row as one struct: no column of documents can clash with those made here."""
+    return documents.select(F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("row"))
 
 
 def restore(documents: DataFrame, drops: DataFrame, least_chars: int = LEAST_CHARS, with_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text (if asked for) and kept_sha256 of every row of documents, without its lost keys' lines."""
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = rows.join(drops, "doc_id", "left").select("doc_id", "text", "drops")
-    return joined.mapInArrow(functools.partial(_restore, least_chars, with_text), "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    done = _cleaned(_packed(documents.select("doc_id", "text")), drops, least_chars)
+    text = F.col("row.text").cast("string")
+    kept = F.coalesce("out.kept", text, F.lit(""))
+    return done.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.coalesce("out.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        (F.when(text.isNotNull(), kept) if with_text else F.lit(None).cast("string")).alias("kept_text"),
+        F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
+    )
 
 
 def find_drops(documents: DataFrame, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -234,54 +263,100 @@ def dedup_lines(documents: DataFrame, least_chars: int = LEAST_CHARS, least_docu
     return restore(documents, find_drops(documents, least_chars, least_documents), least_chars, with_text)
 
 
-def _rewrite(least_chars: int, schema_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lost = batch.column(batch.num_columns - 1).to_pylist()
-        columns = {n: batch.column(i) for i, n in enumerate(schema_names)}
-        texts = columns["text"].to_pylist()
-        for k, drops in enumerate(lost):
-            if drops:
-                gone = {d["k1"].to_bytes(8, "little", signed=True) + d["k2"].to_bytes(8, "little", signed=True) for d in drops}
-                texts[k] = b"\n".join(x for x in (texts[k] or "").encode().split(b"\n") if key_hash(x, least_chars) not in gone).decode()
-        columns["text"] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), schema_names)
-
-
 def rewrite(documents: DataFrame, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """documents, all columns, with the lines dropped that dedup_lines() drops; n_chars is set to the new length where a text changed.
 
-    Only documents that lose a line go through Python.
+    Rows that lose nothing, null texts among them, come back as they are.
+    Columns of any name pass through.
     """
-    names = documents.columns
-    kinds = dict(documents.dtypes)
-    lost = cut(find_drops(documents, least_chars, least_documents))
-    joined = documents.join(lost, "doc_id", "left").select(*names, "drops")
-    same = joined.filter("drops is null").select(names)
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    changed = joined.filter("drops is not null").mapInArrow(functools.partial(_rewrite, least_chars, names), schema)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return same.unionByName(changed.select(names))
+    done = _cleaned(_packed(documents), find_drops(documents.select("doc_id", "text"), least_chars, least_documents), least_chars)
+    kinds, row, changed = dict(documents.dtypes), F.col("row"), F.col("out.kept")
+    new = row.withField("text", changed.cast(kinds["text"]))
+    if "n_chars" in kinds:
+        new = new.withField("n_chars", F.length(changed).cast(kinds["n_chars"]))
+    return done.select(F.when(F.col("out").isNotNull(), new).otherwise(row).alias("row")).select("row.*")
 
 
-class LineStore:
-    """Incremental state in a folder: postings, exact reference counts and cuckoo filters, by shard.
+POSTINGS, COUNTS, FILTERS = "doc_id long, k1 long, k2 long, shard int", "k1 long, k2 long, n_docs long, last_doc long, shard int", "shard int, cells binary"
 
-    insert() and delete() write the next generation, of which only the shards
-    of touched keys are counted anew, and then name it; a run that dies leaves
-    the last one in force. Deleting what was inserted restores every count.
+
+def _follow(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter after some keys left it (turn -1) and others came (1); rows of turn 0 are all keys it then holds."""
+    if not len(rows):
+        return pd.DataFrame({"shard": pd.Series([], dtype="int32"), "cells": pd.Series([], dtype="object")})
+    f = CuckooFilter.from_bytes(before["cells"].iloc[0]) if len(before) else CuckooFilter()
+    of = lambda turn: sorted(zip(rows["k1"][rows["turn"] == turn].tolist(), rows["k2"][rows["turn"] == turn].tolist(), strict=True))
+    for a, b in of(-1):
+        f.delete(a, b)
+    if not all(f.insert(a, b) for a, b in of(1)):
+        f = CuckooFilter.build(of(0))
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "cells": [f.to_bytes()]})
+
+
+class LineStore:
+    """Incremental state in a folder: postings, exact reference counts and cuckoo filters, by shard of the keys.
+
+    The folder has the state; an object of this class opens it, and what
+    another has inserted or deleted is there. insert() and delete() write a
+    generation with the touched shards alone (insert() only adds postings),
+    then a manifest that says where each shard is now, and then remove what no
+    shard uses. A run that dies before the manifest is whole leaves the last
+    one in force. One writer at a time. Deleting what was inserted restores
+    every count.
+
+    Filters have shards of their own, of about KEYS_A_SHARD keys; when these
+    are twice as full there are made to be more. So no task holds more than
+    some 2 * KEYS_A_SHARD keys, however many the store has. n_shards, for a
+    new store, should leave shards of a size that a task can rewrite.
     """
 
     def __init__(self, spark: SparkSession, path: str, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS, n_shards: int = 16):
         self.spark, self.path = spark, path.rstrip("/")
-        self.least_chars, self.least_documents, self.n_shards = least_chars, least_documents, n_shards
-        self.now: str | None = None
+        self.least_chars, self.least_documents = least_chars, least_documents
+        self.state = self._load() or {"turn": 0, "n_shards": n_shards, "filter_shards": 1, "frequent": 0, "settings": [least_chars, least_documents], "postings": {}, "counts": {}, "filters": {}}
+        if self.state["settings"] != [least_chars, least_documents]:
+            raise ValueError(f"this store was made with least_chars, least_documents = {self.state['settings']}")
+
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        place, files = self._files(self.path)
+        return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+    def _load(self) -> dict | None:
+        """The last manifest that is whole."""
+        for name in reversed([n for n in self._names() if n.startswith("manifest-")]):
+            place, files = self._files(f"{self.path}/{name}/_SUCCESS")
+            if files.exists(place):
+                return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+        return None
 
-    def _read(self, name: str) -> DataFrame:
-        schema = {"postings": "doc_id long, k1 long, k2 long, shard int", "counts": "k1 long, k2 long, n_docs long, last_doc long, shard int", "filters": "shard int, cells binary"}[name]
-        if self.now is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.now}/{name}")
+    def _commit(self, state: dict) -> None:
+        """Puts a state in force and removes what it doesn't use."""
+        name = f"manifest-{state['turn']:09d}"
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")
+        self.state = state
+        used = {name, *(g for gs in state["postings"].values() for g in gs), *state["counts"].values(), *state["filters"].values()}
+        for other in self._names():
+            if other not in used:
+                place, files = self._files(f"{self.path}/{other}")
+                files.delete(place, True)
+
+    def _read(self, name: str, shards: list[str] | None = None, state: dict | None = None) -> DataFrame:
+        """A table, or these shards of it."""
+        held = (state or self.state)[name]
+        at = [(k, g) for k in (held if shards is None else shards) if k in held for g in (held[k] if name == "postings" else [held[k]])]
+        schema = {"postings": POSTINGS, "counts": COUNTS, "filters": FILTERS}[name]
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{g}/{name}/part={k}" for k, g in at)) if at else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, generation: str, name: str) -> list[str]:
+        """Writes rows (shard, ...) and returns which shards they are of."""
+        to = f"{self.path}/{generation}/{name}"
+        rows.withColumn("part", F.col("shard")).repartition("part").write.partitionBy("part").parquet(to)
+        place, files = self._files(to)
+        return [n[len("part=") :] for n in (f.getPath().getName() for f in files.listStatus(place)) if n.startswith("part=")]
 
     @property
     def postings(self) -> DataFrame:
@@ -295,59 +370,61 @@ class LineStore:
     def filters(self) -> DataFrame:
         return self._read("filters")
 
-    def _advance(self, postings: DataFrame, touched: DataFrame) -> None:
-        """The generation of these postings; counts of keys in touched (k1, k2) are made anew, the others kept, and filters follow."""
-        new = f"generation-{uuid.uuid4().hex}"
-        postings.write.partitionBy("shard").parquet(f"{self.path}/{new}/postings")
-        schema = "doc_id long, k1 long, k2 long, shard int"
-        written = self.spark.read.schema(schema).parquet(f"{self.path}/{new}/postings")
-        touched = cut(touched.select("k1", "k2").distinct())
-        fresh = reference_counts(written.join(touched, ["k1", "k2"], "left_semi")).withColumn("shard", _shard(self.n_shards))
-        old = self.counts
-        counts = old.join(touched, ["k1", "k2"], "left_anti").select("k1", "k2", "n_docs", "last_doc", "shard").unionByName(fresh)
-        counts.write.parquet(f"{self.path}/{new}/counts")
-        written_counts = self.spark.read.parquet(f"{self.path}/{new}/counts")
-        least = F.col("n_docs") >= self.least_documents
-        was = old.join(touched, ["k1", "k2"], "left_semi").filter(least).select("shard", "k1", "k2", F.lit(-1).alias("turn"))
-        now = written_counts.join(touched, ["k1", "k2"], "left_semi").filter(least).select("shard", "k1", "k2", F.lit(1).alias("turn"))
-        turns = was.unionByName(now).groupBy("shard", "k1", "k2").agg(F.sum("turn").alias("turn")).filter("turn <> 0")
-        all_now = written_counts.filter(least).select("shard", "k1", "k2")
-        held = self.filters
-        moved = turns.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        untouched = held.join(moved, "shard", "left_anti")
-        changed = turns.select("shard", "k1", "k2", "turn").unionByName(all_now.join(moved.select("shard"), "shard", "left_semi").withColumn("turn", F.lit(0)))
-        cells = held.select("shard", "cells").join(moved.select("shard"), "shard", "left_semi")
-
-        def follow(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows):
-                return pd.DataFrame({"shard": pd.Series([], dtype="int32"), "cells": pd.Series([], dtype="object")})
-            f = CuckooFilter.from_bytes(before["cells"].iloc[0]) if len(before) else CuckooFilter()
-            keys = list(zip(rows["k1"].tolist(), rows["k2"].tolist(), rows["turn"].tolist(), strict=True))
-            for a, b, turn in sorted(k for k in keys if k[2] < 0):
-                f.delete(a, b)
-            if not all(f.insert(a, b) for a, b, turn in sorted(k for k in keys if k[2] > 0)):
-                f = CuckooFilter.build(sorted((a, b) for a, b, turn in keys if turn == 0))
-            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "cells": [f.to_bytes()]})
-
-        filters = changed.groupBy("shard").cogroup(cells.groupBy("shard")).applyInPandas(follow, "shard int, cells binary")
-        untouched.select("shard", "cells").unionByName(filters).write.parquet(f"{self.path}/{new}/filters")
-        self.now = new
+    def _next(self) -> tuple[dict, str]:
+        state = json.loads(json.dumps(self.state)) | {"turn": self.state["turn"] + 1}
+        return state, f"generation-{state['turn']:09d}-{uuid.uuid4().hex[:8]}"
+
+    def _advance(self, state: dict, generation: str, touched: DataFrame, shards: list[str]) -> None:
+        """Counts the keys of touched (k1, k2) anew from state's postings; counts of these shards and the filters follow."""
+        keys, least = ["k1", "k2"], F.col("n_docs") >= self.least_documents
+        touched = cut(touched.select(*keys).distinct())
+        fresh = reference_counts(self._read("postings", shards, state).join(touched, keys, "left_semi")).withColumn("shard", _shard(state["n_shards"]))
+        old = self._read("counts", shards)
+        new = old.join(touched, keys, "left_anti").select("k1", "k2", "n_docs", "last_doc", "shard").unionByName(fresh)
+        written = set(self._write(new, generation, "counts"))
+        state["counts"] = {k: g for k, g in state["counts"].items() if k not in shards} | dict.fromkeys(sorted(written), generation)
+        now = self._read("counts", shards, state)
+        turn = lambda df, n: df.join(touched, keys, "left_semi").filter(least).select(*keys, F.lit(n).alias("turn"))
+        turns = cut(turn(old, -1).unionByName(turn(now, 1)).groupBy(*keys).agg(F.sum("turn").alias("turn")).filter("turn <> 0"))
+        state["frequent"] += turns.agg(F.coalesce(F.sum("turn"), F.lit(0))).first()[0]
+        every = self._read("counts", None, state).filter(least).select(*keys)
+        if state["frequent"] > 2 * KEYS_A_SHARD * state["filter_shards"]:
+            state["filter_shards"] = 1 + state["frequent"] // KEYS_A_SHARD
+            state["filters"] = dict.fromkeys(self._write(build_filters(every, state["filter_shards"]), generation, "filters"), generation)
+            return
+        place = _shard(state["filter_shards"]).alias("shard")
+        moved = [str(r.shard) for r in turns.select(place).distinct().collect()]  # at most a row for each KEYS_A_SHARD frequent keys
+        changed = turns.select(place, *keys, "turn").unionByName(every.select(place, *keys, F.lit(0).alias("turn")).filter(F.col("shard").isin([int(k) for k in moved])))
+        cells = self._read("filters", moved)
+        filters = changed.groupBy("shard").cogroup(cells.groupBy("shard")).applyInPandas(_follow, FILTERS)
+        if moved:
+            state["filters"] |= dict.fromkeys(self._write(filters, generation, "filters"), generation)
 
     def insert(self, documents: DataFrame) -> None:
         """Adds documents (doc_id, text). A doc_id that is already held gets these keys besides its own."""
-        added = cut(line_postings(documents, self.least_chars).withColumn("shard", _shard(self.n_shards)))
-        self._advance(self.postings.unionByName(added).distinct(), added)
+        state, generation = self._next()
+        added = cut(line_postings(documents, self.least_chars).withColumn("shard", _shard(state["n_shards"])).distinct())
+        shards = self._write(added, generation, "postings")
+        state["postings"] |= {k: [*state["postings"].get(k, []), generation] for k in shards}
+        self._advance(state, generation, added, shards)
+        self._commit(state)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes out documents named in doc_ids (doc_id); unknown ones change nothing."""
-        gone = doc_ids.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
-        touched = self.postings.join(gone, "doc_id", "left_semi")
-        self._advance(self.postings.join(gone, "doc_id", "left_anti").select("doc_id", "k1", "k2", "shard"), touched)
+        state, generation = self._next()
+        gone = cut(doc_ids.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct())
+        touched = cut(likely(self.postings, "doc_id", gone).join(gone, "doc_id", "left_semi"))
+        shards = [str(r.shard) for r in touched.select("shard").distinct().collect()]  # at most n_shards
+        left = self._read("postings", shards).join(gone, "doc_id", "left_anti").select("doc_id", "k1", "k2", "shard")
+        written = self._write(left, generation, "postings")
+        state["postings"] = {k: g for k, g in state["postings"].items() if k not in shards} | {k: [generation] for k in written}
+        self._advance(state, generation, touched, shards)
+        self._commit(state)
 
     def apply(self, documents: DataFrame, with_text: bool = False) -> DataFrame:
         """restore() of documents by the counts of all documents now held."""
         postings = cut(line_postings(documents, self.least_chars))
-        drops = dropped_keys(pass_filters(postings, self.filters, self.n_shards), self.counts.filter(F.col("n_docs") >= self.least_documents))
+        drops = dropped_keys(pass_filters(postings, self.filters, self.state["filter_shards"]), self.counts.filter(F.col("n_docs") >= self.least_documents))
         return restore(documents, drops, self.least_chars, with_text)
 
 
