@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,12 +11,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from glyphmill.llm._shared import components, cut, likely, table
+from glyphmill.llm._shared import components, cut, free, likely, table
 
 #: Places of the permutations. A shingle's 64-bit hash is first taken to a place; two shingles of a text share one now and then, which only blurs the estimate.
 PLACES = 1 << 22
-HUB_ROUNDS = 3
+#: Members of a band key up to which those outside its hub's component are held against all others one by one.
+FEW = 8
+#: Hubs of a group at most; it takes further ones only while they link something. More or fewer change the work, never the result.
+HUBS = 3
 
 
 @dataclass(frozen=True)
@@ -91,11 +94,18 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch_bits(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a 64-bit number."""
-    two = np.zeros(-(-len(sig) // 32) * 32, np.uint64)
-    two[: len(sig)] = _mix(sig.astype(np.uint64)) & np.uint64(3)
-    return np.bitwise_or.reduce(two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
+#: Buckets of shingles of which it is kept whether a set has an odd number in them, 64 to a number.
+PARITIES = 512
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """Whether a set has an odd number of its hashes in each of PARITIES buckets, as signed 64-bit numbers.
+
+    Two sets differ in parity only where they differ in a shingle, so the
+    places where they do are no more than the shingles that one of them lacks.
+    """
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _print(hashes: np.ndarray) -> bytes:
@@ -103,26 +113,30 @@ def _print(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def _tag(print_: bytes) -> int:
+    return int.from_bytes(print_[:8], "little", signed=True)
+
+
 def _sketch(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            sizes, keys, prints, bits = [], [], [], []
+            sizes, keys, prints, tags, odd = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 hashes = shingle_set(text, s.shingle)
                 sizes.append(len(hashes))
-                sig = signature(hashes, s.bands * s.rows)
-                keys.append(band_keys(sig, s.bands, s.rows) if len(hashes) else np.array([], np.int64))
-                bits.append(sketch_bits(sig).tolist())
+                keys.append(band_keys(signature(hashes, s.bands * s.rows), s.bands, s.rows) if len(hashes) else np.array([], np.int64))
                 prints.append(_print(hashes) if len(hashes) else None)
+                tags.append(_tag(prints[-1]) if len(hashes) else None)
+                odd.append(parities(hashes))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "print", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tags, pa.int64()), pa.array(odd, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "print", "tag", "odd", "keys"])
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, print (of the whole set), bits (of the signature) and keys (of bands) of every row of documents (doc_id, text)."""
+    """doc_id, n_shingles, print (of the whole set), tag (its first bytes), odd (parities) and keys (of bands) of every row of documents (doc_id, text)."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, bits array<long>, keys array<long>")
+    return rows.mapInArrow(functools.partial(_sketch, s), "doc_id long, n_shingles long, print binary, tag long, odd array<long>, keys array<long>")
 
 
 def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,98 +145,157 @@ def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             part = batch.slice(lo, 512)
             sets = [shingle_set(text, s.shingle) for text in part.column(1).to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_print(x) for x in sets], pa.binary()), lists], ["rep", "print", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_tag(_print(x)) for x in sets], pa.int64()), lists], ["rep", "tag", "shingles"])
 
 
-def full_sets(documents: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """(rep, shingles) of reps (rep, print), made anew from the texts: only those that share a band are ever needed.
+def full_sets(documents: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(x, shingles) of nodes, made anew from the texts: only those that share a band are ever needed.
 
-    A Bloom filter of reps keeps the other texts from Python and from the shuffle.
+    A node x is a class of equal sets: its smallest doc_id and a tag of the
+    set, for doc_ids that have several texts. A Bloom filter of nodes keeps the other texts from Python and from the shuffle.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    made = likely(rows, "rep", reps.select("rep")).mapInArrow(functools.partial(_sets, s), "rep long, print binary, shingles array<long>")
-    return made.join(reps, ["rep", "print"], "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
+    made = likely(rows, "rep", cut(nodes.select("x.rep"))).mapInArrow(functools.partial(_sets, s), "rep long, tag long, shingles array<long>")
+    return made.select(F.struct("rep", "tag").alias("x"), "shingles").join(nodes, "x", "left_semi").dropDuplicates(["x"])
 
 
-def _may_link(left: str, right: str, s: Settings) -> Column:
-    """Whether rows of columns n and q0, q1, ... (and these with a suffix) can be similar enough, by set sizes and signature bits.
+def _may_link(n: str, m: str, odd: str, other: str, percent: int) -> Column:
+    """Whether sets of n and m shingles with these parities can be similar enough: false for none that are.
 
-    Two bits of a coordinate agree with probability p = s + (1 - s) / 4, so a
-    pair at the least similarity has more unequal ones than five standard
-    deviations over the mean allow with probability 3e-7, as rarely as it
-    shares no band. What passes is verified on its full sets.
+    They are if no more than t (n + m) shingles, t as in _differences(), are
+    in one of them alone; parities differ in no more places than that.
     """
-    a, b = F.col("n" + left), F.col("n" + right)
-    width = s.bands * s.rows
-    p = (1 + 3 * s.percent / 100) / 4
-    allowed = math.ceil(width * (1 - p) + 5 * math.sqrt(width * p * (1 - p)))
-    unequal = F.lit(0)
-    for k in range(-(-width // 32)):
-        x = F.col(f"q{k}{left}").bitwiseXOR(F.col(f"q{k}{right}"))
-        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (100 * F.least(a, b) >= s.percent * F.greatest(a, b)) & (unequal <= allowed)
+    apart = sum((F.bit_count(F.col(odd)[k].bitwiseXOR(F.col(other)[k])) for k in range(PARITIES // 64)), F.lit(0))
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = likely(sets, "rep", cut(met))
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_right"))
+    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
+    sets = likely(sets, "x", met)
+    left = sets.select(F.col("x").alias("a"), F.col("shingles").alias("_left"))
+    right = sets.select(F.col("x").alias("b"), F.col("shingles").alias("_right"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("_left", "_right"))
     return both.filter(100 * common >= percent * (F.size("_left") + F.size("_right") - common)).select("a", "b")
 
 
-def link_classes(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(rep, component) of classes that share a band: members (key, rep, n, q0, q1, ...), sets (rep, shingles).
+def _in_component(members: DataFrame, comps: DataFrame, x: str = "x", c: str = "c") -> DataFrame:
+    """members with their component; a node without links is its own."""
+    named = comps.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return members.join(named, F.col(f"{x}.rep") == F.col("_node"), "left").withColumn(c, F.coalesce("_component", f"{x}.rep")).drop("_node", "_component")
+
 
-    Pairs of a key are never all made. In each round every key names a hub,
-    and only members not yet in the hub's component are verified against it: a
-    pair a member. Near copies join one component in the first round. What
-    still differs afterwards is met exactly: per key, members outside its
-    largest component are held against all members of other components, and
-    what their signatures don't rule out becomes a pair and is verified.
+def _differences(roles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For rows (hub, x, n, c, far): (hub, token, x, n, c, far, first) for the tokens that may decide.
+
+    A token is a shingle that x has and its hub hasn't, or the other way
+    round. With D(x) for x's tokens, sets X and Y are similar enough if and
+    only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= t (|X| + |Y|), where
+    t = (100 - percent) / (100 + percent). A far x isn't linked to the hub H:
+    |D(x)| > t (|X| + |H|). So a far x and any y that are linked share at
+    least (|D(x)| - t (|X| + |H|)) / 2 > 0 tokens, and more than
+    (|D(y)| - t (|Y| - |H|)) / 2. In any fixed order of tokens, those at the
+    head of both that are |D| + 1 less as many hold a common one. Rows of the
+    second, shorter kind are marked `first`: two far ones share a token that
+    is first in both, a far and a near one a token that is first in the near
+    one and among the far one's rows.
+
+    The order is by how many of the hub's members have a token, rarest first,
+    so what is common to a group brings no one together; a token that only one
+    has is counted and left out.
+    """
+    hubs = sets.select(F.col("x").alias("hub"), F.col("shingles").alias("_hub"))
+    both = roles.join(sets, "x").join(hubs, "hub")
+    tokens = F.concat(F.array_except("shingles", "_hub"), F.array_except("_hub", "shingles"))
+    d, h, t, total = F.size("tokens"), F.size("_hub"), F.lit(100 - percent), 100 + percent
+    head = lambda shared: d + 1 - F.greatest(shared, F.lit(1))
+    few = head(F.floor((total * d - t * (F.col("n") - h)) / (2 * total)) + 1)
+    many = F.when(F.col("far"), head(F.ceil((total * d - t * (F.col("n") + h)) / (2 * total)))).otherwise(0)
+    sized = both.withColumn("tokens", tokens).select("hub", "x", "n", "c", "far", d.alias("d"), few.alias("few"), F.greatest(few, many).alias("many"), "tokens")
+    every = cut(sized.select("hub", "x", "n", "c", "far", "d", "few", "many", F.explode("tokens").alias("token")))
+    common = every.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    own = W.Window.partitionBy("hub", "x")
+    ranked = every.join(common, ["hub", "token"]).withColumns({"place": F.row_number().over(own.orderBy("m", "token")), "met": F.count(F.lit(1)).over(own)})
+    ranked = ranked.withColumn("place", F.col("place") + F.col("d") - F.col("met"))
+    return ranked.filter("place <= many").select("hub", "token", "x", "n", "c", "far", (F.col("place") <= F.col("few")).alias("first"))
+
+
+def link_classes(members: DataFrame, sets: DataFrame, also: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of doc_ids, from classes that share a band.
+
+    members has (key, m, x, n, w, odd): a class in a band key of m classes, its
+    number of shingles, the classes it meets in all of its keys, and its
+    parities, which rule most candidates out before they become pairs. sets has
+    (x, shingles); also has links (a, b) of doc_ids that hold anyway.
+
+    Pairs of a key are never all made. The member with most company (near the
+    middle of a group of copies) is the key's hub, and each member is verified
+    against it. Who is then outside the hub's component may still be linked to
+    others. In keys of FEW members or less these are held against all. Larger
+    keys whose hubs are of one component form a group, with the hub of most
+    company for its first; those outside take further hubs while that links
+    something. Who is still outside the first hub's component meets those
+    members alone that share one of the differences from this hub that decide
+    (see _differences()). Candidates are verified on full sets.
     """
-    own = ["n", *(f"q{k}" for k in range(-(-s.bands * s.rows // 32)))]
-    spark_links = None
-    comps = None
-
-    def placed(m: DataFrame) -> DataFrame:
-        if comps is None:
-            return m.withColumn("c", F.col("rep"))
-        return m.join(comps, m["rep"] == comps["node"], "left").select("key", "rep", *own, F.coalesce("component", "rep").alias("c"))
-
-    tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        now = placed(members)
-        mixed = now.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low < _high").select("key")
-        if turn:
-            now = cut(now.join(mixed, "key", "left_semi"))
-            if now.isEmpty():
-                break
-        if turn < HUB_ROUNDS:
-            by = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "c", *own) if turn else F.struct(F.col("rep").alias("_r"), "rep", "c", *own)
-            hubs = now.groupBy("key").agg(F.min(by).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc"), *(F.col(f"h.{x}").alias(f"{x}_h") for x in own))
-            met = now.join(hubs, "key").filter((F.col("c") != F.col("hc")) & _may_link("", "_h", s))
-            pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        else:
-            sizes = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-            most = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
-            now = now.join(most, "key")
-            few = now.filter("c <> main").select("key", F.col("rep").alias("r2"), F.col("c").alias("c2"), *(F.col(x).alias(f"{x}_h") for x in own))
-            met = now.join(few, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("r2"))) & _may_link("", "_h", s))
-            pairs = met.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_verified(pairs, sets, s.percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and found.isEmpty():
-            continue
-        spark_links = found if spark_links is None else spark_links.unionByName(found)
-        comps = components(spark_links)
+    best = members.groupBy("key").agg(F.max(F.struct("w", "x", "n", "odd")).alias("h")).select("key", F.col("h.x").alias("hub"), F.col("h.n").alias("hn"), F.col("h.w").alias("hw"), F.col("h.odd").alias("hodd"))
+    held = cut(members.join(best, "key"))
+    fits = _may_link("n", "hn", "odd", "hodd", s.percent)
+    pairs = cut(held.filter((F.col("x") != F.col("hub")) & fits).select(*_ordered(F.col("x"), F.col("hub"))).distinct())
+    tried = pairs
+    links = cut(also.unionByName(_verified(pairs, sets, s.percent).select("a.rep", "b.rep").toDF("a", "b")))
+    comps = components(links)
+
+    def linked(pairs: DataFrame) -> bool:
+        """Verifies pairs that are new; whether any of them is linked. Components follow."""
+        nonlocal tried, links, comps
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            free(pairs)
+            return False
+        tried = tried.unionByName(pairs)
+        found = cut(_verified(pairs, sets, s.percent).select("a.rep", "b.rep").toDF("a", "b"))
+        if found.isEmpty():
+            return False
+        links = links.unionByName(found)
+        comps = components(links)
+        return True
+
+    placed = cut(_in_component(_in_component(held, comps), comps, "hub", "hc").select("key", "m", "x", "n", "odd", "c", "hc"))
+    mixed = placed.filter("c <> hc").select("key", F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("odd").alias("odd2"), F.col("c").alias("c2"))
+    small = placed.filter(F.col("m") <= FEW)
+    met = small.join(mixed, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("hc")) | (F.col("x") < F.col("x2"))) & _may_link("n", "n2", "odd", "odd2", s.percent))
+    linked(met.select(*_ordered(F.col("x"), F.col("x2"))).distinct())
+
+    large = _in_component(held.filter(F.col("m") > FEW).join(mixed.select("key").distinct(), "key", "left_semi"), comps, "hub", "hc")
+    large = cut(large.groupBy("hub", "hw", "hc", "x").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("odd").alias("odd")))
+    firsts = large.groupBy("hc").agg(F.max(F.struct("hw", "hub")).getField("hub").alias("g"))
+    groups = cut(large.join(firsts, "hc").groupBy("g", "x").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("odd").alias("odd")))
+    if groups.isEmpty():
+        return comps
+    hubs = cut(groups.select("g", F.col("g").alias("hub")).distinct())
+    for _ in range(1, HUBS):
+        left = _in_component(groups, comps).join(_in_component(hubs, comps, "hub", "c").select("g", "c"), ["g", "c"], "left_anti")
+        more = cut(left.groupBy("g").agg(F.max(F.struct("w", "x", "n", "odd")).alias("h")).select("g", F.col("h.x").alias("hub"), F.col("h.n").alias("hn"), F.col("h.odd").alias("hodd")))
+        met = left.join(more, "g").filter((F.col("x") != F.col("hub")) & _may_link("n", "hn", "odd", "hodd", s.percent))
+        found = linked(met.select(*_ordered(F.col("x"), F.col("hub"))).distinct())
+        hubs = hubs.unionByName(more.select("g", "hub"))
+        if not found:
+            break
+
+    roles = _in_component(_in_component(groups.withColumnRenamed("g", "hub"), comps), comps, "hub", "hc").select("hub", "x", "n", "c", (F.col("c") != F.col("hc")).alias("far"))
+    odds = groups.select("x", "odd").dropDuplicates(["x"])
+    tokens = cut(_differences(roles, sets, s.percent).join(odds, "x"))
+    far = tokens.filter("far").select("hub", "token", F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("first").alias("first2"), F.col("odd").alias("odd2"))
+    once = ~F.col("far") | (F.col("first2") & (F.col("x") < F.col("x2")))
+    met = tokens.filter("first").join(far, ["hub", "token"]).filter((F.col("c") != F.col("c2")) & once & _may_link("n", "n2", "odd", "odd2", s.percent))
+    linked(met.select(*_ordered(F.col("x"), F.col("x2"))).distinct())
     return comps
 
 
@@ -234,25 +307,28 @@ def near_duplicates(documents: DataFrame, s: Settings = CONTRACT) -> DataFrame:
     reachable and kept says whether it is the row's own. A text without words
     (or null) has an empty set and is linked with nothing. A row without
     doc_id is linked with nothing either; its component_id is null and it is
-    kept. Rows that share a doc_id have one component_id if their sets are
-    equal, and are kept or not alike then.
+    kept. Rows that share a doc_id are one document: whatever any of their
+    texts is linked with, all of them are, so they have one component_id.
     """
     rows = cut(sketches(documents, s))
     named = rows.filter("doc_id is not null and n_shingles > 0")
     classes = cut(named.groupBy("print").agg(F.min("doc_id").alias("rep")))
     in_class = named.select("doc_id", "n_shingles", "print").join(classes, "print")
-    reps = classes.select(F.col("rep").alias("doc_id"), "print")
-    sketched = named.select("doc_id", "print", "n_shingles", "bits", "keys").join(reps, ["doc_id", "print"], "left_semi")
-    banded = sketched.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).filter("_low < _high").select("key")
-    members = cut(banded.join(shared, "key", "left_semi").distinct())
-    some = cut(members.select("rep").distinct())
-    bits = likely(sketched.select(F.col("doc_id").alias("rep"), "bits"), "rep", some).dropDuplicates(["rep"])
-    members = members.join(bits, "rep").select("key", "rep", "n", *(F.col("bits")[k].alias(f"q{k}") for k in range(-(-s.bands * s.rows // 32))))
-    members = cut(members)
-    linked = cut(full_sets(documents, cut(classes.join(some, "rep", "left_semi").select("rep", "print")), s))
-    comps = link_classes(members, linked, s)
-    placed = in_class.join(cut(comps), F.col("rep") == F.col("node"), "left")
+    first = classes.select(F.col("rep").alias("doc_id"), "print")
+    sketched = named.join(first, ["doc_id", "print"], "left_semi").select(F.struct(F.col("doc_id").alias("rep"), "tag").alias("x"), F.col("n_shingles").alias("n"), "odd", "keys")
+    banded = sketched.select(F.explode("keys").alias("key"), "x", "n")
+    shared = banded.groupBy("key").agg(F.min(F.xxhash64("x")).alias("_low"), F.max(F.xxhash64("x")).alias("_high"), F.count(F.lit(1)).alias("m")).filter("_low < _high").select("key", "m")
+    members = cut(banded.join(shared, "key").distinct())
+    company = members.groupBy("x").agg(F.sum("m").alias("w"))
+    some = cut(company)
+    odds = likely(sketched.select("x", "odd"), "x", some.select("x")).dropDuplicates(["x"])
+    members = members.join(some.join(odds, "x"), "x")
+    some = some.select("x")
+    linked = cut(full_sets(documents, some, s))
+    twice = named.groupBy("doc_id").agg(F.min(F.xxhash64("print")).alias("_low"), F.max(F.xxhash64("print")).alias("_high")).filter("_low < _high").select("doc_id")
+    also = in_class.join(twice, "doc_id", "left_semi").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    comps = link_classes(members, linked, also, s)
+    placed = in_class.join(comps, F.col("rep") == F.col("node"), "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
