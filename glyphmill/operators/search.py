@@ -112,21 +112,22 @@ def _cells(tokens: pa.Array, known: dict[str, int], n_pars: int) -> tuple[np.nda
     return cell // max(1, len(known)), cell % max(1, len(known)), n.astype(float)
 
 
-def _distances(block: Block, par: np.ndarray, term: np.ndarray, n: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Distances of paragraphs lo to hi and the block's conclusions."""
+def _distances(block: Block, par: np.ndarray, term: np.ndarray, n: np.ndarray, lo: int, hi: int, places: int | None) -> np.ndarray:
+    """Distances of paragraphs lo to hi and the block's conclusions, rounded to so many places or not at all."""
     s = slice(*np.searchsorted(par, [lo, hi]))
     used, column = np.unique(term[s], return_inverse=True)
     p = np.zeros((hi - lo, len(used)))
     p[par[s] - lo, column] = n[s]
     counts = block.dense(used)
-    return np.round(1 - (p @ counts + 1) / (block.norm * np.sqrt((p**2) @ (counts > 0) + 1)), 9) + 0.0
+    d = 1 - (p @ counts + 1) / (block.norm * np.sqrt((p**2) @ (counts > 0) + 1))
+    return d if places is None else np.round(d, places) + 0.0
 
 
-def _nearest(block: Block, cells: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(block: Block, cells: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int, step: int, places: int | None) -> tuple[np.ndarray, np.ndarray]:
     """By conclusion the least distance among paragraphs a to b, and the place of the first that has it."""
     low, spot = np.full(len(block.ids), np.inf), np.zeros(len(block.ids), np.int64)
     for lo in range(a, b, step):
-        d = _distances(block, *cells, lo, min(b, lo + step))
+        d = _distances(block, *cells, lo, min(b, lo + step), places)
         k = d.argmin(axis=0)
         least = d[k, np.arange(len(block.ids))]
         spot = np.where(least < low, k + lo - a, spot)
@@ -137,16 +138,17 @@ def _nearest(block: Block, cells: tuple[np.ndarray, np.ndarray, np.ndarray], a:
 FOUND = "item_id long, act_id long, par_pos int, cosine double, court string, requisites string, paragraph string"
 
 
-def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "best") -> DataFrame:
+def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "best", places: int | None = 9) -> DataFrame:
     """FOUND of every conclusion and act: the act's nearest paragraph, the first of equals; with output "all" each paragraph.
 
     acts has act_id, texts (its paragraphs) and pars (an array of tokens for
     each of these, n-grams already taken apart); conclusions has item_id and
     tokens. Counts are of the conclusion's own terms with a constant 1 put to
     both sides, so the distance is 1 - (c.p + 1) / sqrt((c.c + 1)(p.p + 1))
-    and never undefined. The court is the act's first paragraph, its
-    requisites the third, null where there are fewer. Acts without paragraphs
-    give no rows.
+    and never undefined. It is rounded to so many places, which lets equals
+    tie; pass None if you round it yourself, for two roundings can differ from
+    one. The court is the act's first paragraph, its requisites the third, null
+    where there are fewer. Acts without paragraphs give no rows.
 
     Every pair is part of the result, so nothing is saved by joining on terms:
     the conclusions, as sparse counts, are sent to where the acts are read
@@ -160,12 +162,12 @@ def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "be
     items = ((r.item_id, r.tokens or []) for r in named.orderBy("item_id").toLocalIterator())
     out = None
     for sent in _passes(items):
-        scored = _scored(acts, acts.sparkSession.sparkContext.broadcast(sent), output == "all")
+        scored = _scored(acts, acts.sparkSession.sparkContext.broadcast(sent), output == "all", places)
         out = scored if out is None else out.unionByName(scored)
     return acts.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
-def _scored(acts: DataFrame, shared: Broadcast, every: bool) -> DataFrame:
+def _scored(acts: DataFrame, shared: Broadcast, every: bool, places: int | None) -> DataFrame:
     def rows(part: pa.RecordBatch, known: dict[str, int], blocks: list[Block]) -> Iterator[pa.RecordBatch]:
         ids, texts, pars = part.column(0), part.column(1), part.column(2)
         bounds, first = pars.offsets.to_numpy(), texts.offsets.to_numpy()
@@ -183,13 +185,13 @@ def _scored(acts: DataFrame, shared: Broadcast, every: bool) -> DataFrame:
                 a, b = int(bounds[k]), int(bounds[k + 1])
                 if every:
                     for lo in range(a, b, step):
-                        d = _distances(block, *cells, lo, min(b, lo + step))
+                        d = _distances(block, *cells, lo, min(b, lo + step), places)
                         item.append(np.tile(block.ids, len(d)))
                         act.append(np.full(d.size, k))
                         cosine.append(d.ravel())
                         spot.append(np.repeat(np.arange(lo, lo + len(d)) - a, m))
                 else:
-                    low, where = _nearest(block, cells, a, b, step)
+                    low, where = _nearest(block, cells, a, b, step, places)
                     item.append(block.ids)
                     act.append(np.full(m, k))
                     cosine.append(low)

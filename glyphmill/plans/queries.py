@@ -524,11 +524,14 @@ select item_id, doc_id as act_id, cast(par_pos as integer) as par_pos,
 from cc cross join pars left join met using (item_id, doc_id, par_pos)""",
 )
 def _all_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """C03 with output "all": every paragraph's distance from the first conclusions (their number is this query's, not a limit of the operator)."""
+    """C03 with output "all": every paragraph's distance from the first conclusions (their number is this query's, not a limit of the operator).
+
+    Rounded once, and as the SQL's round() does it: scaled, to a whole number, ties away from zero.
+    """
     items = _table(spark, d, "benchmark")
     few = items.filter(F.col("item_id") <= items.agg(F.min("item_id")).first()[0] + 2)
-    found = search.conclusion_search(_acts(spark, d, tokens.word_tokens), few.select("item_id", tokens.word_tokens(F.col("text")).alias("tokens")), "all")
-    return found.select("item_id", "act_id", "par_pos", F.round("cosine", 6).alias("cosine"))
+    found = search.conclusion_search(_acts(spark, d, tokens.word_tokens), few.select("item_id", tokens.word_tokens(F.col("text")).alias("tokens")), "all", places=None)
+    return found.select("item_id", "act_id", "par_pos", (F.round(F.col("cosine") * 1e6) / 1e6).alias("cosine"))
 
 
 _LATIN_ROWS = _rows("benchmark", "item_id", "regexp_extract_all(lower(text), '[a-z]+')")

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,17 @@ def test_every_paragraph_of_the_documents_is_judged(spark, small, monkeypatch):
     assert {(r.doc_id, r.n) for r in got.groupBy("doc_id").agg(F.count("par").alias("n")).collect()} == {(r.doc_id, r["count"]) for r in pars.groupBy("doc_id").count().collect()}
     rows = queries._quality_rows(spark, small)[1]
     assert sizes == [rows.groupBy("token").count().filter("count > 1").count() + 1]
+
+
+def test_distances_of_all_paragraphs_are_rounded_once(spark, tmp_path, check):
+    """1 - 11 / sqrt(31 * 51) = 0.72335249984...: nine places make it 0.7233525 and six then 0.723353. 1 - 614 / 1280 = 0.5203125 is a tie, its double below it."""
+    text = lambda **n: " ".join(" ".join([w * 2] * k) for w, k in n.items())
+    items = [(1, text(a=4, b=3, c=2, d=1)), (2, text(e=100, f=100, g=5, h=2, i=1, j=213, k=10, l=6))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, text(b=1, d=7) + "\n" + text(e=3, f=3, g=2, h=1, i=1))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = QUERIES["C03_all_paragraphs"](spark, str(tmp_path))
+    assert {(r.item_id, r.par_pos): r.cosine for r in got.collect()}.items() >= {((1, 1), 0.723352), ((2, 2), 0.520312)}
+    check(got, con, SQL["C03_all_paragraphs"])
