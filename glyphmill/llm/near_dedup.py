@@ -17,8 +17,10 @@ from glyphmill.llm._shared import components, cut, free, likely, table
 
 #: Places of the permutations. A shingle's 64-bit hash is first taken to a place; two shingles of a text share one now and then, which only blurs the estimate.
 PLACES = 1 << 22
-#: Members of a band key up to which those outside its hub's component are held against all others one by one.
+#: Members of a band key up to which those outside its hub's component are held against all others one by one, whatever their size.
 FEW = 8
+#: Comparisons of two members that a key with more may take for each shingle of its members. More or fewer change the work, never the result.
+COMPARISONS = 1
 #: Hubs of a group at most; it takes further ones only while they link something. More or fewer change the work, never the result.
 HUBS = 3
 
@@ -237,7 +239,11 @@ def link_classes(members: DataFrame, sets: DataFrame, also: DataFrame, s: Settin
     Pairs of a key are never all made. The member with most company (near the
     middle of a group of copies) is the key's hub, and each member is verified
     against it. Who is then outside the hub's component may still be linked to
-    others. In keys of FEW members or less these are held against all. Larger
+    others. They are held against all, by sizes and parities, in keys of FEW
+    members or less and wherever that takes no more comparisons than the
+    members have shingles (COMPARISONS times as many). A class is in one key a
+    band at most, so comparisons stay in proportion to all shingles however
+    large the table, while differences shuffle and sort a row for each. Other
     keys whose hubs are of one component form a group, with the hub of most
     company for its first; those outside take further hubs while that links
     something. Who is still outside the first hub's component meets those
@@ -269,11 +275,13 @@ def link_classes(members: DataFrame, sets: DataFrame, also: DataFrame, s: Settin
 
     placed = cut(_in_component(_in_component(held, comps), comps, "hub", "hc").select("key", "m", "x", "n", "odd", "c", "hc"))
     mixed = placed.filter("c <> hc").select("key", F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("odd").alias("odd2"), F.col("c").alias("c2"))
-    small = placed.filter(F.col("m") <= FEW)
+    outside = placed.groupBy("key", "m").agg(F.count_if(F.expr("c <> hc")).alias("outside"), F.sum("n").alias("shingles")).filter("outside > 0")
+    costs = cut(outside.select("key", ((F.col("m") <= FEW) | (F.col("m") * F.col("outside") <= COMPARISONS * F.col("shingles"))).alias("direct")))
+    small = placed.join(costs.filter("direct"), "key", "left_semi")
     met = small.join(mixed, "key").filter((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("hc")) | (F.col("x") < F.col("x2"))) & _may_link("n", "n2", "odd", "odd2", s.percent))
     linked(met.select(*_ordered(F.col("x"), F.col("x2"))).distinct())
 
-    large = _in_component(held.filter(F.col("m") > FEW).join(mixed.select("key").distinct(), "key", "left_semi"), comps, "hub", "hc")
+    large = _in_component(held.join(costs.filter("not direct"), "key", "left_semi"), comps, "hub", "hc")
     large = cut(large.groupBy("hub", "hw", "hc", "x").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("odd").alias("odd")))
     firsts = large.groupBy("hc").agg(F.max(F.struct("hw", "hub")).getField("hub").alias("g"))
     groups = cut(large.join(firsts, "hc").groupBy("g", "x").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("odd").alias("odd")))

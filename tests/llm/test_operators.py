@@ -78,6 +78,19 @@ def test_near_duplicates_against_brute_force(spark, settings, few, monkeypatch):
     assert all(got[k].n_shingles == len(x) and got[k].kept == (label[k] == k) for k, x in sets)
 
 
+@pytest.mark.parametrize("comparisons", [None, 0])
+def test_differences_are_taken_only_where_comparisons_cost_more(spark, comparisons, monkeypatch):
+    """Groups of long texts are compared by parities, without a row for each shingle; both ways link the same."""
+    asked, differences = [], near_dedup._differences
+    monkeypatch.setattr(near_dedup, "_differences", lambda *a: asked.append(1) or differences(*a))
+    if comparisons is not None:
+        monkeypatch.setattr(near_dedup, "COMPARISONS", comparisons)
+    rows = near_rows()
+    label, _ = brute_components(rows, near_dedup.STAGE)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), near_dedup.STAGE).collect()} == label
+    assert bool(asked) == (comparisons == 0)
+
+
 def test_rows_that_share_a_doc_id_are_one_document(spark):
     one, two = (t for _, t in variants(8, 2, 1, 0))
     rows = [(1, one), (2, two), (2, one), (7, two), (8, one + " end"), (9, "else")]
