@@ -2,14 +2,18 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from glyphmill.functions import patterns as P
 from glyphmill.functions import segments, tokens
-from glyphmill.operators import lemmas, models, ngrams, search, vectors, vocabulary
+from glyphmill.operators import lemmas, models, nets, ngrams, search, vectors, vocabulary
 
 DASHES = "-" * 66
 
@@ -242,3 +246,31 @@ def test_blocks_of_conclusions_change_nothing(spark, monkeypatch):
 def test_number_of_ngrams(spark, words, n):
     row = spark.createDataFrame([(words,)], "w array<string>").select(ngrams.ngrams(F.col("w"), n).alias("g")).first()
     assert row.g == [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def test_sparse_nets_are_the_dense_ones(spark):
+    """The same start, steps and end as MLlib's perceptron, which takes a dense row for each text."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(100):
+        at = sorted(rng.choice(np.arange(1, 60), 8, replace=False).tolist())
+        rows.append((k, int(rng.random() < 0.2 + 0.6 * (at[0] % 2)), Vectors.sparse(60, at, rng.integers(1, 4, 8).astype(float).tolist())))
+    df = spark.createDataFrame(rows, ["k", "label", "features"]).coalesce(1)
+    dense = MultilayerPerceptronClassifier(layers=[60, 7, 2], maxIter=10, seed=3).fit(df.withColumn("label", F.col("label").cast("double")))
+    want = [r.p for r in dense.transform(df).orderBy("k").select(vector_to_array("probability")[1].alias("p")).collect()]
+    assert [r.p for r in models.probabilities(models.train(df, hidden=7, epochs=10, seed=3), df).orderBy("k").collect()] == pytest.approx(want, abs=1e-9)
+
+
+def test_nets_of_many_terms_hold_few_weights(tmp_path, monkeypatch):
+    """Neither rows nor all weights are dense at once: 3 million terms, 50 units; a few units at a time change nothing."""
+    assert nets.Trainer(str(tmp_path), 3_000_000, 50, nets.hashed(1)).wide * 3_000_000 <= nets.MOST_WEIGHTS
+    found = []
+    for most in (10**9, 80):
+        monkeypatch.setattr(nets, "MOST_WEIGHTS", most)
+        monkeypatch.setattr(nets, "MOST_CELLS", most)
+        (at := tmp_path / str(most)).mkdir()
+        net = nets.Trainer(str(at), 40, 6, nets.hashed(1))
+        net.take(((np.arange(k % 5, 40, 7), np.ones(len(range(k % 5, 40, 7)))) for k in range(30)), [k % 2 for k in range(30)])
+        a = net.train(5)
+        found.append(np.hstack([net.initial(lo, hi) + net.gathered(a, lo, hi) for lo, hi in net.units()]))
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
