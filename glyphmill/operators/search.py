@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from pyspark.sql import window as W
 from glyphmill.operators.ngrams import once
 
 #: Dense numbers a task holds at most (8 bytes each), conclusions a block, and terms of conclusions that one pass over the acts is sent.
-MOST_CELLS, MOST_ITEMS, MOST_POSTINGS = 8_000_000, 4_096, 16_000_000
+MOST_CELLS, MOST_ITEMS, MOST_POSTINGS = 8_000_000, 1_024, 16_000_000
 ACTS_AT_ONCE = 256
+#: Rows, and bytes of their texts, of a batch of the result; a row of longer texts is a batch of its own.
+MOST_ROWS, MOST_BYTES = 16_384, 8_000_000
 
 
 def cosine_distance(dot: Column, left: Column, right: Column) -> Column:
@@ -167,10 +170,27 @@ def conclusion_search(acts: DataFrame, conclusions: DataFrame, output: str = "be
     return acts.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
+def reported(ids: pa.Array, texts: pa.ListArray, item: np.ndarray, act: np.ndarray, cosine: np.ndarray, spot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """FOUND of conclusions, acts (places in ids and texts), distances and places of paragraphs, in batches: each row repeats three texts of its act."""
+    first = texts.offsets.to_numpy()
+    many = np.diff(first)[act]
+    values = texts.values.slice(first[0], first[-1] - first[0])
+    sizes = np.append(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), 0)
+    places = [np.where(many > place, first[act] - first[0] + place, -1) for place in (0, 2, spot)]  # the last of sizes is that of none
+    total = sum(sizes[at].astype(np.int64) for at in places).cumsum()
+    lo = 0
+    while lo < len(item):
+        before = total[lo - 1] if lo else 0
+        hi = min(len(item), lo + MOST_ROWS, max(lo + 1, int(np.searchsorted(total, before + MOST_BYTES, "right"))))
+        text = [values.take(pa.array(at[lo:hi], pa.int64(), mask=at[lo:hi] < 0)) for at in places]
+        yield pa.RecordBatch.from_arrays([pa.array(item[lo:hi], pa.int64()), ids.take(pa.array(act[lo:hi])), pa.array((spot[lo:hi] + 1).astype(np.int32)), pa.array(cosine[lo:hi]), *text], ["item_id", "act_id", "par_pos", "cosine", "court", "requisites", "paragraph"])
+        lo = hi
+
+
 def _scored(acts: DataFrame, shared: Broadcast, every: bool, places: int | None) -> DataFrame:
     def rows(part: pa.RecordBatch, known: dict[str, int], blocks: list[Block]) -> Iterator[pa.RecordBatch]:
         ids, texts, pars = part.column(0), part.column(1), part.column(2)
-        bounds, first = pars.offsets.to_numpy(), texts.offsets.to_numpy()
+        bounds = pars.offsets.to_numpy()
         if not part.num_rows or bounds[0] == bounds[-1]:
             return  # no paragraphs; the arrays below would have no offsets
         tokens = pars.values.slice(bounds[0], bounds[-1] - bounds[0])
@@ -179,29 +199,23 @@ def _scored(acts: DataFrame, shared: Broadcast, every: bool, places: int | None)
         step = max(1, MOST_CELLS // max(1, len(known), *(len(b.ids) for b in blocks)))
         live = [k for k in range(part.num_rows) if bounds[k + 1] > bounds[k]]
         for block in blocks:
-            m = len(block.ids)
-            item, act, cosine, spot = [], [], [], []
+            m, waiting, held = len(block.ids), [], 0
             for k in live:
                 a, b = int(bounds[k]), int(bounds[k + 1])
                 if every:
-                    for lo in range(a, b, step):
-                        d = _distances(block, *cells, lo, min(b, lo + step), places)
-                        item.append(np.tile(block.ids, len(d)))
-                        act.append(np.full(d.size, k))
-                        cosine.append(d.ravel())
-                        spot.append(np.repeat(np.arange(lo, lo + len(d)) - a, m))
+                    few = max(1, min(step, MOST_ROWS // m))
+                    found = ((lo, _distances(block, *cells, lo, min(b, lo + few), places)) for lo in range(a, b, few))
+                    pieces = ((np.tile(block.ids, len(d)), np.full(d.size, k), d.ravel(), np.repeat(np.arange(lo, lo + len(d)) - a, m)) for lo, d in found)
                 else:
-                    low, where = _nearest(block, cells, a, b, step, places)
-                    item.append(block.ids)
-                    act.append(np.full(m, k))
-                    cosine.append(low)
-                    spot.append(where)
-            if not item:
-                return
-            item, act, cosine, spot = (np.concatenate(x) for x in (item, act, cosine, spot))
-            many = np.diff(first)[act]
-            text = lambda place: texts.values.take(pa.array(np.where(many > place, first[act] + place, -1), pa.int64(), mask=many <= place))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids.take(pa.array(act)), pa.array((spot + 1).astype(np.int32)), pa.array(cosine), text(0), text(2), text(spot)], ["item_id", "act_id", "par_pos", "cosine", "court", "requisites", "paragraph"])
+                    pieces = iter([(block.ids, np.full(m, k), *_nearest(block, cells, a, b, step, places))])
+                for piece in pieces:
+                    waiting.append(piece)
+                    held += len(piece[0])
+                    if held >= MOST_ROWS:
+                        yield from reported(ids, texts, *map(np.concatenate, zip(*waiting, strict=True)))
+                        waiting, held = [], 0
+            if waiting:
+                yield from reported(ids, texts, *map(np.concatenate, zip(*waiting, strict=True)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, blocks = shared.value

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -274,3 +275,14 @@ def test_nets_of_many_terms_hold_few_weights(tmp_path, monkeypatch):
         a = net.train(5)
         found.append(np.hstack([net.initial(lo, hi) + net.gathered(a, lo, hi) for lo, hi in net.units()]))
     assert found[0] == pytest.approx(found[1], abs=1e-9)
+
+
+def test_batches_of_found_paragraphs_are_bounded():
+    """Each row repeats texts of its act: of 300 rows of 60 kB no batch holds more than MOST_BYTES, and none is lost."""
+    texts, ids = pa.array([["c" * 20_000, "x", "r" * 20_000, "p" * 20_000], ["q"]]), pa.array([7, 8])
+    item, act, spot = np.arange(301), np.append(np.zeros(300, int), 1), np.append(np.full(300, 3), 0)
+    got = list(search.reported(ids, texts, item, act, np.zeros(301), spot))
+    assert max(b.nbytes for b in got) < search.MOST_BYTES * 1.1 and sum(b.num_rows for b in got) == 301
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["item_id"] for r in rows] == list(range(301)) and all((r["court"], r["requisites"], r["paragraph"]) == ("c" * 20_000, "r" * 20_000, "p" * 20_000) for r in rows[:300])
+    assert rows[300] == {"item_id": 300, "act_id": 8, "par_pos": 1, "cosine": 0.0, "court": "q", "requisites": None, "paragraph": "q"}
