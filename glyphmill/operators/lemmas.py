@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -38,6 +39,27 @@ def lemmatized(tokens: DataFrame, lemmas: DataFrame, keep_unknown: bool = False)
     return tokens.join(lemmas, "token").select(*others, F.col("lemma").alias("token"))
 
 
+#: Entries of a dictionary that is sent along with an expression; a larger one is joined.
+MOST_LEMMAS = 20_000
+
+
+def lookup(lemmas: DataFrame) -> Callable[[Column], Column] | None:
+    """What puts lemmas in place of a list's tokens, unknown ones kept, without a join; None if the dictionary is too large or has two lemmas of a word.
+
+    The dictionary is a constant: entries lie in buckets by the hash of their
+    token, a few in each, so a token costs the same however many there are.
+    """
+    rows = lemmas.filter("token is not null").select("token", "lemma", F.hash("token").alias("h")).limit(MOST_LEMMAS + 1).collect()
+    if len(rows) > MOST_LEMMAS or len({r.token for r in rows}) < len(rows):
+        return None
+    n = max(1, len(rows) // 2)
+    buckets: list[dict[str, str]] = [{} for _ in range(n)]
+    for r in rows:
+        buckets[r.h % n][r.token] = r.lemma
+    known = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    return lambda tokens: F.transform(tokens, lambda x: F.coalesce(F.element_at(F.get(known, F.pmod(F.hash(x), F.lit(n))), x), x))
+
+
 def regathered(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tokens): token lists in the order of tok_pos."""
     gathered = F.array_sort(F.collect_list(F.struct("tok_pos", "token")))
@@ -64,6 +86,8 @@ def normalized(df: DataFrame, key: str, text: str, lemmas: DataFrame, unit: str
     A part is a paragraph (empty ones too) or, by unit, the whole document.
     """
     rows = df.select(key, F.posexplode(parts_of(F.col(text), unit)).alias("_p", "_part"))
+    if known := lookup(lemmas):
+        return rows.select(key, (F.col("_p") + 1).alias("part"), F.array_join(known(F.split("_part", " ")), " ").alias("text"))
     words = rows.select(key, (F.col("_p") + 1).alias("part"), F.posexplode(F.split("_part", " ")).alias("tok_pos", "token"))
     return regathered(lemmatized(words, lemmas, True), [key, "part"]).select(key, "part", F.array_join("tokens", " ").alias("text"))
 
@@ -75,6 +99,8 @@ def full_process(df: DataFrame, key: str, text: str, lemmas: DataFrame, stops: S
     """
     of = lambda p: word_tokens_without(p, stops) if stops else word_tokens(p)
     pars = df.select(key, F.posexplode(parts_of(F.col(text), "paragraph")).alias("_p", "par")).select(key, (F.col("_p") + 1).alias("par_pos"), "par")
+    if known := lookup(lemmas):
+        return pars.select(key, "par_pos", F.coalesce(known(of(F.col("par"))), F.array().cast("array<string>")).alias("tokens"))
     words = pars.select(key, "par_pos", F.posexplode(of(F.col("par"))).alias("tok_pos", "token"))
     found = regathered(lemmatized(words, lemmas, True), [key, "par_pos"])
     return pars.select(key, "par_pos").join(found, [key, "par_pos"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))

@@ -286,3 +286,25 @@ def test_batches_of_found_paragraphs_are_bounded():
     rows = pa.Table.from_batches(got).to_pylist()
     assert [r["item_id"] for r in rows] == list(range(301)) and all((r["court"], r["requisites"], r["paragraph"]) == ("c" * 20_000, "r" * 20_000, "p" * 20_000) for r in rows[:300])
     assert rows[300] == {"item_id": 300, "act_id": 8, "par_pos": 1, "cosine": 0.0, "court": "q", "requisites": None, "paragraph": "q"}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_lemmas_of_a_small_dictionary_shuffle_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the maisons\n\na  b maisons c"), (2, ""), (3, None)], "k int, t string")
+    found = []
+    for words in ([("maisons", "maison"), ("b", None), (None, "x"), ("c", "")], [(f"w{k}", "w") for k in range(5_000)] + [("maisons", "maison"), ("c", "")]):
+        dictionary = spark.createDataFrame(words, "token string, lemma string")
+        made = [lemmas.normalized(docs, "k", "t", dictionary), lemmas.full_process(docs, "k", "t", dictionary, ["the"])]
+        assert [exchanges(x) for x in made] == [0, 0]
+        with monkeypatch.context() as m:
+            m.setattr(lemmas, "MOST_LEMMAS", 1)
+            joined = [lemmas.normalized(docs, "k", "t", dictionary), lemmas.full_process(docs, "k", "t", dictionary, ["the"])]
+            assert min(exchanges(x) for x in joined) > 0
+            found.append([sorted(x.collect()) for x in made])
+            assert found[-1] == [sorted(x.collect()) for x in joined]
+    assert found[0] == found[1] and (1, 3, "a  b maison ") in found[0][0]
+    twice = spark.createDataFrame([("b", "x"), ("b", "a")], "token string, lemma string")
+    assert lemmas.normalized(docs, "k", "t", twice).filter("part = 3").first().text == "a  a x maisons c"
