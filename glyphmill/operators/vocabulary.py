@@ -73,8 +73,25 @@ def distinct_longer(tokens: DataFrame, than: int = 1) -> DataFrame:
     return tokens.select("token").filter(F.length("token") > than).distinct()
 
 
+#: Words of a vocabulary that is sent to the executors (some 60 bytes each); a larger one is joined token by token.
+MOST_WORDS = 4_000_000
+
+
 def lines_in_vocabulary(df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
-    """T19-T21 for a vocabulary of any size: (key, line) of every row; a row without such tokens has an empty line."""
+    """T19-T21 for a vocabulary of any size: (key, line) of every row; a row without such tokens has an empty line.
+
+    No token is shuffled but those that the vocabulary lacks, once a row of
+    df; rows of df come to them once.
+    """
+    vocabulary = stored(vocabulary.select("token"))
+    if vocabulary.count() <= MOST_WORDS:
+        lost = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(F.broadcast(vocabulary), "token", "left_anti")  # MOST_WORDS rows
+        rows = df.join(lost.groupBy(key).agg(F.collect_set("token").alias("_lost")), key, "left").withColumn("_lost", F.coalesce("_lost", F.array().cast("array<string>")))
+        # Lost tokens become null, so those of rows with the same key keep their places.
+        kept = rows.select(key, F.transform(tokens, lambda x: F.when(~F.array_contains("_lost", x), x)).alias("_kept")).groupBy(key).agg(F.collect_list("_kept").alias("_all"))
+        merged = F.transform(F.array_sort(F.flatten(F.transform("_all", lambda a: F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x")))))), lambda x: x["x"])
+        line = F.array_join(F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(merged), " ")
+        return kept.select(key, F.when(F.col(key).isNull(), F.lit("")).otherwise(F.coalesce(line, F.lit(""))).alias("line"))
     found = in_vocabulary(exploded(df, [key], tokens), vocabulary)
     lines = found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_pos", "token"))), lambda x: x.getField("token")), " ").alias("line"))
     return df.select(key).distinct().join(lines, key, "left").select(key, F.coalesce("line", F.lit("")).alias("line"))

@@ -308,3 +308,13 @@ def test_lemmas_of_a_small_dictionary_shuffle_nothing(spark, monkeypatch):
     assert found[0] == found[1] and (1, 3, "a  b maison ") in found[0][0]
     twice = spark.createDataFrame([("b", "x"), ("b", "a")], "token string, lemma string")
     assert lemmas.normalized(docs, "k", "t", twice).filter("part = 3").first().text == "a  a x maisons c"
+
+
+def test_lines_shuffle_only_tokens_the_vocabulary_lacks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b rare a"), (1, "c rare b"), (2, "odd"), (3, None), (None, "a b"), (4, "a a b")], "k int, t string")
+    words, split = spark.createDataFrame([("a",), ("b",), ("c",)], "token string"), F.split("t", " ")
+    got = vocabulary.lines_in_vocabulary(docs, "k", split, words)
+    assert "left_anti" in got._jdf.queryExecution().toString().lower().replace("leftanti", "left_anti")
+    monkeypatch.setattr(vocabulary, "MOST_WORDS", 1)
+    joined = vocabulary.lines_in_vocabulary(docs, "k", split, words)
+    assert {(r.k, r.line) for r in got.collect()} == {(r.k, r.line) for r in joined.collect()} == {(1, "a c b b a"), (2, ""), (3, ""), (None, ""), (4, "a a b")}
